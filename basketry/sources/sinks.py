@@ -22,11 +22,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     return reader.option("header", True).csv(path) if fmt == "csv" else reader.parquet(path)
 
 
-def write_events(events: DataFrame, path: str) -> DataFrame:
-    """Cart events partitioned by day, so that a time split reads only the days it needs."""
-    dated = events.withColumn("event_date", F.to_date("ts"))
-    return write_table(dated.repartition("event_date", F.pmod(F.xxhash64("session_id"), F.lit(16))), path,
-                       partition_by=["event_date"])
+def write_events(events: DataFrame, path: str, granularity: str = "day", spread: int = 16) -> DataFrame:
+    """Cart events partitioned by time, so that a time split reads only the periods it needs.
+
+    A busy period is written by up to ``spread`` tasks instead of one.
+    """
+    dated = events.withColumn("event_date", F.to_date(F.date_trunc(granularity, F.col("ts").cast("timestamp"))))
+    spread_out = dated.repartition("event_date", F.pmod(F.xxhash64("session_id"), F.lit(spread)))
+    return write_table(spread_out, path, partition_by=["event_date"])
 
 
 def write_training_set(training: DataFrame, path: str) -> DataFrame:
