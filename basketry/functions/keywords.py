@@ -55,11 +55,14 @@ class Lexicon:
     def classes(self) -> list[str]:
         return [f.name for f in fields(self)]
 
-    def pattern(self, name: str) -> str:
-        """Whole-word alternation, longest first, so "garlic naan" wins over "naan"."""
+    def alternation(self, name: str) -> str:
+        """Words longest first, so "garlic naan" wins over "naan"."""
         words = sorted(set(getattr(self, name)), key=lambda w: (-len(w), w))
-        escaped = [re.sub(r"([.^$*+?()\[\]{}|\\])", r"\\\1", w) for w in words]
-        return r"\b(" + "|".join(escaped) + r")\b"
+        return "(" + "|".join(re.sub(r"([.^$*+?()\[\]{}|\\])", r"\\\1", w) for w in words) + ")"
+
+    def pattern(self, name: str) -> str:
+        """Whole words only; letters of any script count as part of a word."""
+        return r"(?<![\p{L}\p{N}_])" + self.alternation(name) + r"(?![\p{L}\p{N}_])"
 
     @classmethod
     def from_table(cls, table: DataFrame) -> "Lexicon":

@@ -152,8 +152,10 @@ BLOCKS["o_menu"] = """
 
 
 def hits(x: str, name: str) -> str:
-    pattern = LEX.pattern(name).replace("'", "''")
-    return f"list_distinct(regexp_extract_all(lower({x}), '{pattern}', 1))"
+    """Letters outside ASCII become "_", a word character for this engine's word boundary."""
+    plain = f"regexp_replace(lower({x}), '[^\\x00-\\x7F\\PL]', '_', 'g')"
+    words = LEX.alternation(name).replace("'", "''")
+    return f"list_distinct(regexp_extract_all({plain}, '\\b{words}\\b', 1))"
 
 
 _partial = " ".join(
@@ -666,6 +668,209 @@ FINAL |= {
             "session_id", "step_number", "user_id", "restaurant_id", "candidate_item", "label", "hour", "meal_type_idx", "user_type_idx",
             "embedding_idx", "cart_size", "cart_value", "missing_beverage", "missing_dessert", "heavy_meal", "cart_embedding_indices")),
 }
+
+# Long reports ------------------------------------------------------------------------------------
+
+
+def total(source: str, section: str, **metrics: str) -> list[str]:
+    return [f"SELECT '{section}' AS section, '{n}' AS metric, {r(x)} AS value FROM {source}" for n, x in metrics.items()]
+
+
+def mix(source: str, column: str, section: str) -> list[str]:
+    return [f"SELECT '{section}' AS section, CAST({column} AS VARCHAR) AS metric, "
+            f"{r('100.0 * count(*) / sum(count(*)) OVER ()')} AS value FROM {source} GROUP BY {column}"]
+
+
+def stats(source: str, column: str, zero: bool, **quantiles: float) -> list[str]:
+    metrics = {"min": f"min({column})", "mean": f"avg({column})", "max": f"max({column})", "std": f"stddev_samp({column})"}
+    metrics |= {n: f"quantile_cont({column}, {q})" for n, q in quantiles.items()}
+    if zero:
+        metrics["zero_pct"] = f"100.0 * count(*) FILTER (WHERE {column} = 0) / count(*)"
+    return total(source, column, **metrics)
+
+
+def top5(source: str, column: str) -> list[str]:
+    return [f"SELECT * FROM (SELECT 'top_{column}' AS section, {column} AS metric, CAST(count(*) AS DOUBLE) AS value FROM {source} "
+            f"GROUP BY {column} ORDER BY count(*) DESC, {column} LIMIT 5)"]
+
+
+def report(*parts: list[str]) -> str:
+    return " UNION ALL ".join(x for part in parts for x in part)
+
+
+BLOCKS["o_menu_sizes"] = "SELECT restaurant_id, count(*) AS menu_size FROM b_items GROUP BY restaurant_id"
+FINAL["cleaning_summary"] = report(
+    total("b_raw_menu", "raw", raw_rows="count(*)"),
+    total("o_restaurants", "restaurants", restaurants="count(*)", cities="count(DISTINCT city)", cuisines="count(DISTINCT cuisine)",
+          max_delivery_rating="max(delivery_rating)", max_dining_rating="max(dining_rating)",
+          compression_pct="100.0 * count(*) / (SELECT count(*) FROM b_raw_menu)"),
+    total("o_menu", "menu", items="count(*)", item_names="count(DISTINCT item_name)", min_price="min(price)", max_price="max(price)",
+          best_sellers="sum(best_seller)", retained_pct="100.0 * count(*) / (SELECT count(*) FROM b_raw_menu)"),
+    top5("o_restaurants", "city"), top5("o_restaurants", "cuisine"))
+FINAL["category_summary"] = report(
+    total("o_dishes", "total", items="count(*)", mean_confidence="avg(category_confidence)", mean_veg_confidence="avg(veg_confidence)",
+          unknown_pct="100.0 * count(*) FILTER (WHERE item_category = 'unknown') / count(*)",
+          low_confidence="count(*) FILTER (WHERE category_confidence < 0.5)", median_confidence="quantile_cont(category_confidence, 0.5)"),
+    mix("o_dishes", "item_category", "category_pct"), mix("o_dishes", "veg_flag", "veg_pct"))
+FINAL["profile_merchants"] = report(
+    total("o_restaurants", "total", restaurants="count(*)"), mix("o_restaurants", "city", "city_pct"),
+    stats("o_restaurants", "delivery_rating", False, median=0.5), stats("o_restaurants", "delivery_votes", True, median=0.5, p95=0.95))
+FINAL["profile_items"] = report(
+    total("b_items", "total", items="count(*)", best_seller_pct="100.0 * sum(best_seller) / count(*)"),
+    stats("o_menu_sizes", "menu_size", False, median=0.5), stats("b_items", "price", False, median=0.5, p95=0.95, p99=0.99),
+    mix("b_items", "item_category", "category_pct"), stats("b_items", "item_votes", True, median=0.5, p95=0.95))
+
+_attributes = ("meal_type", "user_type", "city", "hour")
+BLOCKS["o_session_mix"] = "SELECT 'label' AS section, CAST(label AS VARCHAR) AS value, count(*) AS n FROM o_events GROUP BY label " + " ".join(
+    f"UNION ALL SELECT '{a}', CAST({a} AS VARCHAR), count(*) FROM o_events WHERE label = 1 GROUP BY {a}" for a in _attributes)
+FINAL["session_summary"] = f"SELECT section, value, n, {r('100.0 * n / sum(n) OVER (PARTITION BY section)')} AS pct FROM o_session_mix"
+
+_groups = " ".join(
+    f"WHEN contains(c, '{x.lower()}') OR contains('{x.lower()}', c) THEN '{g}'" for g, xs in vocab.CUISINE_GROUPS.items() for x in xs)
+BLOCKS["o_groups"] = f"SELECT cuisine, CASE {_groups} ELSE 'indian' END AS cuisine_group FROM (SELECT cuisine, lower(cuisine) AS c FROM o_cuisine_names)"
+FINAL["cuisine_group"] = "SELECT cuisine, cuisine_group, count(*) AS n FROM o_text JOIN o_groups USING (cuisine) GROUP BY ALL"
+LOW = case("user_type", {k: v[0] for k, v in vocab.PRICE_BRACKETS.items()}, "NULL")
+HIGH = case("user_type", {k: v[1] or 1e300 for k, v in vocab.PRICE_BRACKETS.items()}, "NULL")
+
+
+def fit(price: str, inside: float, below: float, above: float) -> str:
+    return f"CAST(CASE WHEN {price} < {LOW} THEN {below} WHEN {price} > {HIGH} THEN {above} ELSE {inside} END AS DOUBLE)"
+
+
+FINAL["price_fit"] = f"""SELECT user_type, {fit('price', 1.2, 0.7, 0.5)} AS merchant_fit, {fit('price', 1.0, 0.6, 0.3)} AS item_fit,
+    count(*) AS n FROM o_steps GROUP BY ALL"""
+FINAL["merchant_affinity"] = f"""SELECT user_id, restaurant_id, {r('w / sum(w) OVER (PARTITION BY user_id)')} AS probability FROM (
+    SELECT user_id, m.restaurant_id, greatest(0.1, least(1.0, (m.smoothed_rating - 3.0) / 1.5))
+      * CASE WHEN m.delivery_votes > 0 THEN least(1.5, ln(1 + m.delivery_votes) / ln(1001)) ELSE 0.5 END
+      * CASE WHEN list_contains(string_split(preferred_cuisines, '|'), cuisine_group) THEN 1.5 ELSE 0.8 END
+      * {fit('coalesce(p.avg_item_price, 200)', 1.2, 0.7, 0.5)} AS w
+    FROM b_users u JOIN o_smoothed m ON m.city = u.city JOIN o_groups g ON g.cuisine = m.cuisine
+    JOIN o_price_stats p ON p.restaurant_id = m.restaurant_id)"""
+_boost = " ".join(
+    f"WHEN meal_type = '{meal}' AND item_category = '{c}' THEN {w}" for meal, row in vocab.FIRST_ITEM_BOOST.items() for c, w in row.items())
+FINAL["first_item_affinity"] = f"""SELECT restaurant_id, user_type, meal_type, item_id,
+    {r('w / sum(w) OVER (PARTITION BY restaurant_id, user_type, meal_type)')} AS probability FROM (
+    SELECT c.*, item_id, (0.5::DOUBLE * norm_votes + 0.3::DOUBLE * best_seller + 0.2::DOUBLE * {fit('price', 1.0, 0.6, 0.3)})
+      * CAST(CASE {_boost} ELSE 1.0 END AS DOUBLE) AS w
+    FROM (SELECT DISTINCT restaurant_id, user_type, meal_type FROM o_steps) c JOIN o_norm_votes USING (restaurant_id))"""
+_moves = " ".join(
+    f"WHEN last = '{a}' AND m.item_category = '{b}' THEN {w}" for a, row in vocab.CATEGORY_TRANSITIONS.items() for b, w in row.items())
+BLOCKS["o_choices"] = f"""
+    SELECT s.session_id, s.step_number, s.item_id, m.item_id AS option,
+      CASE WHEN list_contains(s.cart_items, m.item_id) THEN 0 ELSE
+      (0.15::DOUBLE * m.norm_votes + 0.35::DOUBLE * m.best_seller + 0.5::DOUBLE)
+      * CAST(CASE {_moves} WHEN last IN ('main', 'side', 'beverage', 'dessert') THEN 0.1 ELSE 1.0 END AS DOUBLE)
+      * CASE m.item_category
+          WHEN 'beverage' THEN (CASE WHEN has_main AND NOT list_contains(cart_categories, 'beverage') THEN 6 ELSE 1 END)
+                             * (CASE WHEN s.meal_type IN ('lunch', 'dinner') THEN 2 ELSE 1 END)
+          WHEN 'dessert' THEN (CASE WHEN heavy = 1 THEN 4 ELSE 1 END) * (CASE WHEN s.user_type IN ('premium', 'luxury') THEN 3 ELSE 1 END)
+          WHEN 'main' THEN CASE WHEN has_main THEN 0.5::DOUBLE ELSE 1 END ELSE 1 END
+      * CASE WHEN len(list_filter(cart_categories, lambda c: c = m.item_category)) >= 2 THEN 0.3::DOUBLE ELSE 1 END
+      * CASE WHEN m.price <= greatest(50, u.avg_order_value - s.cart_total) THEN 1 ELSE 0.3::DOUBLE END END AS w
+    FROM (SELECT *, cart_categories[-1] AS last, list_contains(cart_categories, 'main') AS has_main, {HEAVY} AS heavy
+          FROM o_steps WHERE step_number > 0) s
+    JOIN b_users u ON u.user_id = s.user_id JOIN o_norm_votes m ON m.restaurant_id = s.restaurant_id"""
+FINAL["next_item_affinity"] = f"""SELECT session_id, step_number, item_id, count(*) AS choices,
+    {r('max(CASE WHEN option = item_id THEN w END) / sum(w)')} AS p_added, {r('max(w) / sum(w)')} AS p_best
+    FROM o_choices GROUP BY session_id, step_number, item_id"""
+
+
+def signal(scope: str, name: str, condition: str, outcome: str) -> str:
+    source = "o_session_flags" if scope == "session" else "o_step_flags"
+    return (f"SELECT '{scope}' AS scope, '{name}' AS signal, count(*) FILTER (WHERE {condition}) AS base, "
+            f"count(*) FILTER (WHERE ({condition}) AND {outcome}) AS hits, "
+            f"{r(f'count(*) FILTER (WHERE ({condition}) AND {outcome}) / count(*) FILTER (WHERE {condition})::DOUBLE')} AS rate FROM {source}")
+
+
+BLOCKS["o_session_flags"] = """
+    SELECT session_id, user_type IN ('premium', 'luxury') AS premium, meal_type IN ('lunch', 'dinner') AS big_meal,
+      count(*) FILTER (WHERE item_category = 'main') AS mains, count(*) FILTER (WHERE item_category = 'side') AS sides,
+      bool_or(item_category = 'beverage') AS beverage, bool_or(item_category = 'dessert') AS dessert
+    FROM o_steps GROUP BY session_id, user_type, meal_type"""
+BLOCKS["o_step_flags"] = f"""
+    SELECT user_type IN ('premium', 'luxury') AS premium, meal_type IN ('lunch', 'dinner') AS big_meal,
+      list_contains(cart_categories, 'main') AND NOT list_contains(cart_categories, 'beverage') AS gap, {HEAVY} = 1 AS heavy,
+      item_category = 'beverage' AS beverage, item_category = 'dessert' AS dessert FROM o_steps"""
+_heavy_session = "mains >= 2 OR (mains >= 1 AND sides >= 1)"
+FINAL["conditional_attach"] = " UNION ALL ".join(
+    [signal("session", "main_beverage", "mains > 0", "beverage"), signal("session", "heavy_dessert", _heavy_session, "dessert"),
+     signal("step", "main_gap_beverage", "gap", "beverage"), signal("step", "heavy_dessert", "heavy", "dessert")]
+    + [signal(s, n, c, o) for s in ("session", "step") for n, c, o in (
+        ("premium_dessert", "premium", "dessert"), ("other_user_dessert", "NOT premium", "dessert"),
+        ("lunch_dinner_beverage", "big_meal", "beverage"), ("other_meal_beverage", "NOT big_meal", "beverage"))])
+_flags = {"is_beverage": "CAST(category_index = 3 AS INT)", "is_dessert": "CAST(category_index = 2 AS INT)",
+          "is_main": "CAST(category_index = 0 AS INT)", "missing_beverage": "missing_beverage", "missing_dessert": "missing_dessert",
+          "heavy_meal": "heavy_meal", "missing_bev_x_is_bev": "missing_beverage * CAST(category_index = 3 AS INT)",
+          "missing_des_x_is_des": "missing_dessert * CAST(category_index = 2 AS INT)",
+          "heavy_x_is_des": "heavy_meal * CAST(category_index = 2 AS INT)"}
+BLOCKS["o_flagged"] = "SELECT t.*, f.category_index FROM o_training t JOIN o_item_features f ON f.item_id = t.candidate_item"
+FINAL["label_correlations"] = " UNION ALL ".join(
+    f"SELECT '{n}' AS feature, {r(f'corr(CAST({x} AS DOUBLE), CAST(label AS DOUBLE))')} AS correlation FROM o_flagged" for n, x in _flags.items())
+BLOCKS["o_loose_menu"] = "SELECT item_id, max(restaurant_id) AS restaurant_id, max(price) AS price FROM o_priced GROUP BY item_id"
+_loose_sizes = "(SELECT count(*) AS n FROM o_loose_menu GROUP BY restaurant_id)"
+FINAL["recommended_actions"] = f"""SELECT * FROM (
+    SELECT 'filter_small_menus' AS action, count(*) AS affected FROM {_loose_sizes} WHERE n < 3
+    UNION ALL SELECT 'review_large_menus', count(*) FROM {_loose_sizes} WHERE n > 100
+    UNION ALL SELECT 'review_price_outliers', count(*) FROM o_loose_menu WHERE price > (SELECT q3 + 3 * (q3 - q1) FROM (
+      SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM o_loose_menu))
+    UNION ALL SELECT 'many_restaurants_without_votes', CASE WHEN avg(CAST(delivery_votes = 0 AS INT)) > 0.5
+      THEN count(*) FILTER (WHERE delivery_votes = 0) ELSE 0 END FROM o_restaurants
+    UNION ALL SELECT 'improve_unknown_categories', count(*) FROM o_loose_menu
+    UNION ALL SELECT 'fix_orphan_items', count(DISTINCT restaurant_id) FROM o_loose_menu
+      WHERE restaurant_id NOT IN (SELECT restaurant_id FROM o_restaurants)
+    UNION ALL SELECT 'drop_restaurants_without_menu', count(*) FROM o_restaurants
+      WHERE restaurant_id NOT IN (SELECT restaurant_id FROM o_loose_menu)) WHERE affected > 0"""
+FINAL["read_raw_csv"] = "SELECT restaurant_name, city, item_name, price, count(*) AS n FROM b_raw_menu GROUP BY ALL"
+FINAL["normalize_headers"] = """SELECT restaurant_name, CAST(NULL AS VARCHAR) AS dining_rating, CAST(NULL AS VARCHAR) AS delivery_rating,
+    CAST(NULL AS VARCHAR) AS dining_votes, CAST(NULL AS VARCHAR) AS delivery_votes, cuisine, place, city, item_name,
+    CAST(NULL AS VARCHAR) AS best_seller, CAST(NULL AS VARCHAR) AS item_votes, price, count(*) AS n FROM b_raw_menu GROUP BY ALL"""
+BLOCKS["o_heuristic"] = f"""
+    SELECT label, CASE WHEN {NO_BEV} = 1 AND item_category = 'beverage' THEN 0.8::DOUBLE ELSE 0.2::DOUBLE END AS score
+    FROM o_events JOIN b_items ON item_id = candidate_item"""
+BLOCKS["o_heuristic_counts"] = "SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM o_heuristic GROUP BY score"
+FINAL["train_eval"] = f"""SELECT 'heuristic' AS run, {big('sum(pos)')} AS positives, {big('sum(neg)')} AS negatives,
+    {r('sum(pos * (below + neg / 2.0::DOUBLE)) / (sum(pos)::DOUBLE * sum(neg))')} AS auc,
+    {r('sum(pos * (cp / (cp + cn))) / sum(pos)::DOUBLE')} AS average_precision,
+    {r('sum(pos * -ln(score) * (SELECT sum(1 - label) / sum(label)::DOUBLE FROM o_heuristic) + neg * -ln(1 - score)) / sum(pos + neg)')} AS loss
+    FROM (SELECT *, CAST(sum(pos) OVER w AS DOUBLE) AS cp, CAST(sum(neg) OVER w AS DOUBLE) AS cn,
+      coalesce(CAST(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0) AS below
+      FROM o_heuristic_counts WINDOW w AS (ORDER BY score DESC))"""
+
+# First step of a walk: inverse of the cumulative transition weights in node order.
+BLOCKS["o_cdf"] = """
+    SELECT src, dst, (cum - weight) / total AS low, CASE WHEN pos = degree THEN 1.0 ELSE cum / total END AS high FROM (
+      SELECT *, sum(weight) OVER (PARTITION BY src ORDER BY dst) AS cum, sum(weight) OVER (PARTITION BY src) AS total,
+        row_number() OVER (PARTITION BY src ORDER BY dst) AS pos, count(*) OVER (PARTITION BY src) AS degree FROM o_sym)"""
+FINAL["random_walk_first_step"] = """SELECT walk_id, x.src, dst FROM (
+    SELECT src, src || '#' || w AS walk_id, (('0x' || substr(md5('42|' || src || '#' || w || '|1|0'), 1, 7))::BIGINT + 0.5::DOUBLE)
+      / 268435456.0::DOUBLE AS u FROM (SELECT DISTINCT src FROM o_sym), (SELECT unnest(range(10)) AS w)) x
+    JOIN o_cdf c ON c.src = x.src AND low <= u AND u < high"""
+
+# Streams: what the batch query gives for the windows that the watermark closes.
+BLOCKS["o_activity"] = """
+    SELECT ts, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id, CAST(event_type = 'purchase' AS BIGINT) AS added,
+      CAST(event_type IN ('click', 'view', 'purchase') AS BIGINT) AS shown, hour(ts) AS hour FROM events"""
+BLOCKS["o_activity_meal"] = f"SELECT *, {MEAL} AS meal_type FROM o_activity"
+_stamp = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
+FINAL["stream_attach_rate"] = f"""SELECT {_stamp.format('w')} AS window_start, meal_type, {big('sum(added)')} AS adds, {big('sum(shown)')} AS shown,
+    {r('sum(added) / nullif(sum(shown), 0)::DOUBLE')} AS attach_rate FROM (SELECT *, date_trunc('hour', ts) AS w FROM o_activity_meal)
+    GROUP BY w, meal_type HAVING w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+FINAL["stream_top_items"] = f"""SELECT {_stamp.format('w')} AS window_start, item_id, adds, rank FROM (
+    SELECT w, item_id, count(*) AS adds, row_number() OVER (PARTITION BY w ORDER BY count(*) DESC, item_id) AS rank FROM (
+      SELECT item_id, ts, unnest([0, 15, 30, 45]) AS back, time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(back) AS w
+      FROM o_activity WHERE added = 1) GROUP BY w, item_id
+    HAVING w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM o_activity WHERE added = 1) - INTERVAL 10 MINUTE) WHERE rank <= 5"""
+FINAL["stream_sessions"] = f"""SELECT user_id, {_stamp.format('min(ts)')} AS session_start,
+    {_stamp.format('max(ts) + INTERVAL 30 MINUTE')} AS session_end, count(*) AS events FROM (
+      SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS visit FROM (
+        SELECT user_id, ts, CAST(coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, TRUE) AS INT) AS fresh
+        FROM events)) GROUP BY user_id, visit
+    HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+FINAL["stream_enrich"] = f"""SELECT session_id, l_linenumber, item_id, item_category, price, user_type, meal_type, category_index, is_beverage FROM (
+    SELECT l_orderkey AS session_id, {big('l_linenumber')} AS l_linenumber, item_id, item_category, price, user_type, {MEAL} AS meal_type,
+      CAST({CATEGORY} AS BIGINT) AS category_index, CAST(item_category = 'beverage' AS BIGINT) AS is_beverage
+    FROM lineitem JOIN b_items ON item_id = l_partkey JOIN b_sessions ON session_id = l_orderkey)"""
+FINAL["stream_recommend"] = FINAL["recommend_cooc"]
 FINAL["global_stable_sort"] = FINAL["ordered_sequence"] + " ORDER BY session_id"
 FINAL["join_menu_stats"] = FINAL["merchant_price_stats"]
 FINAL["write_training_set"] = FINAL["training_set"]

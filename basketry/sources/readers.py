@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from basketry import vocab
 
+# Doubled quotes inside quoted fields, as spreadsheets and data frames write them.
+CSV_OPTIONS = {
+    "header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 RAW_COLUMNS = list(dict.fromkeys(vocab.RAW_HEADERS.values()))
 
 
@@ -15,20 +19,13 @@ def read_raw_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Dat
     Only the header line is looked at for the schema. Lines that do not fit keep their text in
     ``_corrupt_record``. Pass ``encoding="ISO-8859-1"`` for latin-1 files.
     """
-    header = spark.read.option("encoding", encoding).option("header", True).csv(path).schema
+    header = spark.read.options(**CSV_OPTIONS).option("encoding", encoding).csv(path).schema
     if not header.fields:
         raise ValueError(f"no header in {path}")
     fields = [T.StructField(f.name, T.StringType()) for f in header.fields]
     schema = T.StructType([*fields, T.StructField("_corrupt_record", T.StringType())])
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("encoding", encoding)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .option("ignoreLeadingWhiteSpace", False)
-        .csv(path)
-    )
+    reader = spark.read.schema(schema).options(**CSV_OPTIONS).option("encoding", encoding)
+    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").csv(path)
 
 
 def normalize_headers(df: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from basketry.sources.readers import CSV_OPTIONS
+
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] = ()) -> DataFrame:
@@ -14,12 +16,12 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
         out = df.withColumns({c: F.array_join(F.col(c).cast("array<string>"), "|") for c in lists}) if lists else df
     writer = out.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(**CSV_OPTIONS)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
     reader = df.sparkSession.read.schema(out.schema)
-    return reader.option("header", True).csv(path) if fmt == "csv" else reader.parquet(path)
+    return reader.options(**CSV_OPTIONS).csv(path) if fmt == "csv" else reader.parquet(path)
 
 
 def write_events(events: DataFrame, path: str, granularity: str = "day", spread: int = 16) -> DataFrame:
