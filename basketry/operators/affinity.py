@@ -85,7 +85,8 @@ def next_item_affinity(steps: DataFrame, items: DataFrame, cap: int = vocab.MENU
         for x in (F.lit(name), F.create_map(*[y for pair in row.items() for y in map(F.lit, pair)]))
     ])
     has_main = F.array_contains(categories, "main")
-    prepared = steps.join(pools, "restaurant_id").withColumns({
+    # Everything that depends on the step alone is computed below the join, once per step.
+    prepared = steps.withColumns({
         "_transition": F.try_element_at(transitions, last),
         "_has_main": has_main,
         "_beverage_gap": has_main & ~F.array_contains(categories, "beverage"),
@@ -96,7 +97,7 @@ def next_item_affinity(steps: DataFrame, items: DataFrame, cap: int = vocab.MENU
         "_repeated": F.filter(
             F.array_distinct(categories), lambda c: F.size(F.filter(categories, lambda d: d == c)) >= 2
         ),
-    })
+    }).join(pools, "restaurant_id")
 
     def weight(x: Column) -> Column:
         category = x["item_category"]

@@ -67,33 +67,53 @@ def metrics_table(scored: DataFrame, model: str, baseline: str, ks=KS) -> DataFr
     return table.select("metric", F.col(model).alias("model"), F.col(baseline).alias("baseline"), better.alias("improvement_pct"))
 
 
-def _by_score(scored: DataFrame) -> DataFrame:
-    """Class counts per distinct score with running totals from the highest score down."""
-    counts = scored.groupBy("score").agg(
+def score_counts(scored: DataFrame, group: list[str]) -> DataFrame:
+    """Class counts per distinct score with running totals from the highest score down.
+
+    Everything below works on these counts; shown items are read once.
+    """
+    counts = scored.groupBy(*group, "score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
     bucket = order_bucket(-F.col("score"), 4096)
-    return running(counts, [], bucket, [F.desc("score")], {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")})
+    return running(counts, group, bucket, [F.desc("score")], {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")})
 
 
-def auc_exact(scored: DataFrame) -> DataFrame:
-    """ROC-AUC with ties counted half; null when a class is missing."""
-    wins = F.col("pos").cast("double") * (F.col("neg_upto") - F.col("neg") / 2.0)
-    totals = _by_score(scored).agg(
-        F.sum(wins).alias("_above"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives")
+def score_quality(scored: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """ROC-AUC (ties half), average precision and class-weighted log loss per group.
+
+    AUC is null when a class is missing. The loss weighs positives by negatives / positives.
+    """
+    group = group or []
+    pos, neg = F.col("pos"), F.col("neg")
+    p = F.least(F.greatest(F.col("score"), F.lit(1e-12)), F.lit(1 - 1e-12))
+    sums = score_counts(scored, group).groupBy(*group).agg(
+        F.sum("pos").alias("positives"),
+        F.sum("neg").alias("negatives"),
+        F.sum(pos.cast("double") * (F.col("neg_upto") - neg / 2.0)).alias("_above"),
+        F.sum(pos * (F.col("pos_upto") / (F.col("pos_upto") + F.col("neg_upto")))).alias("_gain"),
+        F.sum(pos * -F.log(p)).alias("_pos_loss"),
+        F.sum(neg * -F.log(1 - p)).alias("_neg_loss"),
     )
     pairs = F.col("positives").cast("double") * F.col("negatives")
-    return totals.select("positives", "negatives", (F.lit(1.0) - F.try_divide(F.col("_above"), pairs)).alias("auc"))
+    weight = share(F.col("negatives"), F.col("positives"))
+    return sums.select(
+        *group,
+        "positives",
+        "negatives",
+        (F.lit(1.0) - F.try_divide(F.col("_above"), pairs)).alias("auc"),
+        share(F.col("_gain"), F.col("positives")).alias("average_precision"),
+        F.try_divide(
+            F.col("_pos_loss") * weight + F.col("_neg_loss"), (F.col("positives") + F.col("negatives")).cast("double")
+        ).alias("loss"),
+    )
 
 
-def average_precision(scored: DataFrame) -> DataFrame:
-    """Area under the precision-recall curve as a step sum over distinct scores."""
-    gain = F.col("pos") * (F.col("pos_upto") / (F.col("pos_upto") + F.col("neg_upto")))
-    totals = _by_score(scored).agg(F.sum(gain).alias("_gain"), F.sum("pos").alias("positives"))
-    return totals.select("positives", share(F.col("_gain"), F.col("positives")).alias("average_precision"))
+def auc_exact(scored: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """ROC-AUC with ties counted half; null when a class is missing."""
+    return score_quality(scored, group).select(*(group or []), "positives", "negatives", "auc")
 
 
-def log_loss(scored: DataFrame, pos_weight: Column | float = 1.0) -> DataFrame:
-    p = F.least(F.greatest(F.col("score"), F.lit(1e-12)), F.lit(1 - 1e-12))
-    weight = pos_weight if isinstance(pos_weight, Column) else F.lit(pos_weight)
-    return scored.agg(F.avg(F.when(F.col("label") == 1, -F.log(p) * weight).otherwise(-F.log(1 - p))).alias("loss"))
+def average_precision(scored: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Area under the precision-recall curve as a step sum over distinct scores."""
+    return score_quality(scored, group).select(*(group or []), "positives", "average_precision")

@@ -181,7 +181,7 @@ def join_cart_items(steps: DataFrame, items: DataFrame) -> DataFrame:
 def cart_embedding_indices(steps: DataFrame, index: DataFrame) -> DataFrame:
     """Embedding indices of the cart in order, unknown items left out."""
     lines = cart_lines(steps, index.select("item_id", F.col("idx"))).filter(F.col("idx").isNotNull())
-    ordered = F.array_sort(F.collect_list(F.struct("position", "idx")))
+    ordered = F.sort_array(F.collect_list(F.struct("position", "idx")))
     return lines.groupBy("session_id", "step_number").agg(
         F.transform(ordered, lambda x: x["idx"]).alias("cart_embedding_indices")
     )

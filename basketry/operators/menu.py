@@ -135,7 +135,7 @@ def pool_arrays(ranked_items: DataFrame, rank: str, limit: int | Column, fields:
     Steps or requests then join one row each instead of one row per candidate.
     """
     kept = ranked_items.filter(F.col(rank) <= limit)
-    pool = F.array_sort(F.collect_list(F.struct(rank, *fields)))
+    pool = F.sort_array(F.collect_list(F.struct(rank, *fields)))
     return kept.groupBy("restaurant_id").agg(pool.alias("pool"))
 
 

@@ -11,7 +11,7 @@ from basketry import vocab
 from basketry.functions import context
 from basketry.functions.hashing import uniform
 from basketry.operators.embeddings import cart_vectors, interaction_columns
-from basketry.operators.evaluate import auc_exact, average_precision, log_loss
+from basketry.operators.evaluate import score_quality
 from basketry.operators.features import cart_features_scaled, class_balance, join_features_default
 
 CART_INPUTS = [
@@ -80,10 +80,6 @@ def score_candidates(model, assembled: DataFrame) -> DataFrame:
     return scored.drop("features", "rawPrediction", "probability", "prediction")
 
 
-def train_eval(scored: DataFrame, run: str) -> DataFrame:
-    """Loss, ROC-AUC and PR-AUC of one run."""
-    loss = log_loss(scored, class_balance(scored).select("pos_weight").scalar()).scalar()
-    precision = average_precision(scored).select("average_precision").scalar()
-    return auc_exact(scored).select(
-        F.lit(run).alias("run"), "positives", "negatives", "auc", precision.alias("average_precision"), loss.alias("loss")
-    )
+def train_eval(scored: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Loss, ROC-AUC and PR-AUC, per group (such as the split) in one pass."""
+    return score_quality(scored, group)

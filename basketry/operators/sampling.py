@@ -28,11 +28,12 @@ def with_negatives(
     Weighted sampling without replacement by exponential race inside the row: no candidate rows
     are shuffled, and the draw depends on keys only.
     """
-    joined = steps.join(negative_pools(items, cap, seed), "restaurant_id", "left").withColumn(
-        "_key", hash28(digest(F.col("session_id"), F.col("step_number"), seed=seed))
+    # Hashed below the join: one digest per step, not one per candidate.
+    keyed = steps.withColumn("_key", hash28(digest(F.col("session_id"), F.col("step_number"), seed=seed)))
+    joined = keyed.join(negative_pools(items, cap, seed), "restaurant_id", "left")
+    free = F.filter(
+        "pool", lambda x: (x["item_id"] != F.col("item_id")) & ~F.array_contains("cart_items", x["item_id"])
     )
-    taken = F.array_append(F.col("cart_items"), F.col("item_id"))
-    free = F.filter("pool", lambda x: ~F.array_contains(taken, x["item_id"]))
     race = F.transform(
         free,
         lambda x: F.struct(
@@ -40,7 +41,7 @@ def with_negatives(
             x["item_id"].alias("item_id"),
         ),
     )
-    first = F.slice(F.array_sort(race), 1, n)
+    first = F.slice(F.sort_array(race), 1, n)
     drawn = F.coalesce(F.transform(first, lambda x: x["item_id"]), F.array().cast("array<bigint>"))
     return joined.withColumn("negatives", drawn).drop("pool", "_key")
 

@@ -15,7 +15,7 @@ def filter_positive(events: DataFrame) -> DataFrame:
 
 def ordered_sequence(adds: DataFrame, item: str = "item_id") -> DataFrame:
     """Items of each session in step order."""
-    steps = F.array_sort(F.collect_list(F.struct("step_number", item)))
+    steps = F.sort_array(F.collect_list(F.struct("step_number", item)))
     return adds.groupBy("session_id").agg(F.transform(steps, lambda s: s[item]).alias("item_sequence"))
 
 

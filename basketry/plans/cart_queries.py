@@ -215,7 +215,7 @@ def _(m):
     chosen = F.get(F.filter("affinity", lambda x: x["item_id"] == F.col("item_id")), 0)
     best = F.array_max(F.transform("affinity", lambda x: x["probability"]))
     return scored.select("session_id", "step_number", "item_id", F.size("affinity").alias("choices"),
-                         chosen["probability"].alias("p_added"), best.alias("p_best"))
+                         (100.0 * chosen["probability"]).alias("added_pct"), (100.0 * best).alias("best_pct"))
 
 
 @query("transition_matrix")

@@ -15,13 +15,6 @@ from basketry.sources.bindings import CartModel
 from basketry.streaming import jobs
 
 
-def gap_score(events_: DataFrame, items: DataFrame) -> DataFrame:
-    categories = items.select(F.col("item_id").alias("candidate_item"), "item_category")
-    gap = context.lacks(F.col("cart_categories"), "beverage")
-    fits = F.coalesce((F.col("item_category") == "beverage").cast("int"), F.lit(0))
-    return events_.join(categories, "candidate_item", "left").withColumn("score", (gap * fits).cast("double"))
-
-
 def scored_policies(m: CartModel) -> DataFrame:
     """Every shown item scored by three policies; the events are generated once."""
     slim = events(m).select("session_id", "step_number", "candidate_item", "label", "cart_categories")
@@ -104,14 +97,12 @@ def _(m):
 
 @query("auc_exact")
 def _(m):
-    parts = [ev.auc_exact(one_policy(m, p)).withColumn("policy", F.lit(p)) for p in ("heuristic", "popularity", "random")]
-    return reports.union(parts)
+    return ev.auc_exact(scored_policies(m), ["policy"])
 
 
 @query("average_precision")
 def _(m):
-    parts = [ev.average_precision(one_policy(m, p)).withColumn("policy", F.lit(p)) for p in ("heuristic", "popularity", "random")]
-    return reports.union(parts)
+    return ev.average_precision(scored_policies(m), ["policy"])
 
 
 @query("profile_merchants")

@@ -211,9 +211,7 @@ def _(m):
     rows = split_inputs(m)
     model = ranker.train_ranker(rows.filter(F.col("split") == "train"))
     scored = ranker.score_candidates(model, rows)
-    return ranker.train_eval(scored.filter(F.col("split") == "train"), "train").unionByName(
-        ranker.train_eval(scored.filter(F.col("split") == "validation"), "validation")
-    )
+    return ranker.train_eval(scored, ["split"])
 
 
 @query("score_candidates")
@@ -231,7 +229,7 @@ def _(m):
         F.when(context.lacks(F.col("cart_categories"), "beverage") * (F.col("category_index") == 3).cast("int") == 1, 0.8)
         .otherwise(0.2),
     )
-    return ranker.train_eval(scored, "heuristic")
+    return ranker.train_eval(scored).withColumn("run", F.lit("heuristic"))
 
 
 def requests(m: CartModel) -> DataFrame:

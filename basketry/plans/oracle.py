@@ -771,7 +771,8 @@ BLOCKS["o_choices"] = f"""
           FROM o_steps WHERE step_number > 0) s
     JOIN b_users u ON u.user_id = s.user_id JOIN o_norm_votes m ON m.restaurant_id = s.restaurant_id"""
 FINAL["next_item_affinity"] = f"""SELECT session_id, step_number, item_id, count(*) AS choices,
-    {r('max(CASE WHEN option = item_id THEN w END) / sum(w)')} AS p_added, {r('max(w) / sum(w)')} AS p_best
+    {r('100.0 * max(CASE WHEN option = item_id THEN w END) / sum(w)')} AS added_pct,
+    {r('100.0 * max(w) / sum(w)')} AS best_pct
     FROM o_choices GROUP BY session_id, step_number, item_id"""
 
 
