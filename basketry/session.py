@@ -17,6 +17,14 @@ DEFAULTS = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
+# Small local data: keep the tasks of compute-heavy stages apart although their input is tiny.
+LOCAL = {
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    "spark.driver.memory": "16g",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32k",
+}
+
 
 def build_session(
     app_name: str = "basketry", master: str | None = None, shuffle_partitions: int | None = None
@@ -25,9 +33,10 @@ def build_session(
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false").config(
-            "spark.ui.showConsoleProgress", "false"
-        )
+        builder = builder.master(master)
+    if master and master.startswith("local"):
+        for key, value in LOCAL.items():
+            builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
