@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketry import vocab
 from basketry.functions.cleaning import lookup
-from basketry.functions.context import cuisine_group, heavy_meal, item_price_fit, merchant_price_fit
+from basketry.functions.context import category_index, cuisine_group, heavy_meal, item_price_fit, merchant_price_fit
 from basketry.functions.numeric import clip, share
 from basketry.operators.menu import cap_menu, pool_arrays, votes_norm_max
 
@@ -70,70 +70,62 @@ def first_item_affinity(contexts: DataFrame, items: DataFrame, cap: int = vocab.
 
 
 def next_item_affinity(steps: DataFrame, items: DataFrame, cap: int = vocab.MENU_CAP) -> DataFrame:
-    """Add ``affinity``: array of (item_id, probability) over the restaurant's menu.
+    """Add ``affinity``, an array of (item_id, weight) over the restaurant's menu, and its total.
+
+    The division stays outside the array (``choice_probability``): inside the lambda the total
+    would be summed again for every entry.
 
     ``steps`` carries cart_items, cart_categories, cart_total, user_type, meal_type,
     avg_order_value. Items in the cart get 0.
     """
-    menu = votes_norm_max(cap_menu(items, cap))
-    pools = pool_arrays(menu, "item_rank", cap, ["item_id", "item_category", "price", "norm_votes", "best_seller"])
+    base = 0.15 * F.col("norm_votes") + 0.35 * F.col("best_seller") + 0.5
+    menu = votes_norm_max(cap_menu(items, cap)).withColumns({
+        "base": base, "code": category_index(F.col("item_category"))
+    })
+    pools = pool_arrays(menu, "item_rank", cap, ["item_id", "code", "price", "base"])
+    # All but base and price depends on the category alone: one factor per category and step,
+    # computed below the join, leaves a short product per menu item.
     categories = F.col("cart_categories")
     last = F.try_element_at(categories, F.lit(-1))
-    transitions = F.create_map(*[
-        x
-        for name, row in vocab.CATEGORY_TRANSITIONS.items()
-        for x in (F.lit(name), F.create_map(*[y for pair in row.items() for y in map(F.lit, pair)]))
-    ])
     has_main = F.array_contains(categories, "main")
-    # Everything that depends on the step alone is computed below the join, once per step.
+    boosts = {
+        "beverage": F.when(has_main & ~F.array_contains(categories, "beverage"), 6.0).otherwise(1.0)
+        * F.when(F.col("meal_type").isin("lunch", "dinner"), 2.0).otherwise(1.0),
+        "dessert": F.when(heavy_meal(categories) == 1, 4.0).otherwise(1.0)
+        * F.when(F.col("user_type").isin("premium", "luxury"), 3.0).otherwise(1.0),
+        "main": F.when(has_main, 0.5).otherwise(1.0),
+    }
+
+    def factor(name: str) -> Column:
+        rates = {frm: row.get(name, vocab.OTHER_TRANSITION) for frm, row in vocab.CATEGORY_TRANSITIONS.items()}
+        repeated = F.size(F.filter(categories, lambda c: c == name)) >= 2
+        follow = F.coalesce(lookup(last, rates), F.lit(1.0))
+        return follow * boosts.get(name, F.lit(1.0)) * F.when(repeated, 0.3).otherwise(1.0)
+
     prepared = steps.withColumns({
-        "_transition": F.try_element_at(transitions, last),
-        "_has_main": has_main,
-        "_beverage_gap": has_main & ~F.array_contains(categories, "beverage"),
-        "_heavy": heavy_meal(categories) == 1,
-        "_premium": F.col("user_type").isin("premium", "luxury"),
-        "_big_meal": F.col("meal_type").isin("lunch", "dinner"),
+        "_factors": F.array(*[factor(name) for name in vocab.CATEGORY_INDEX]),
         "_budget": F.greatest(F.lit(50.0), F.col("avg_order_value") - F.col("cart_total")),
-        "_repeated": F.filter(
-            F.array_distinct(categories), lambda c: F.size(F.filter(categories, lambda d: d == c)) >= 2
-        ),
     }).join(pools, "restaurant_id")
 
     def weight(x: Column) -> Column:
-        category = x["item_category"]
-        base = 0.15 * x["norm_votes"] + 0.35 * x["best_seller"] + 0.5
-        follow = F.when(F.col("_transition").isNull(), 1.0).otherwise(
-            F.coalesce(F.try_element_at(F.col("_transition"), category), F.lit(vocab.OTHER_TRANSITION))
-        )
-        beverage = F.when(F.col("_beverage_gap"), 6.0).otherwise(1.0) * F.when(F.col("_big_meal"), 2.0).otherwise(1.0)
-        dessert = F.when(F.col("_heavy"), 4.0).otherwise(1.0) * F.when(F.col("_premium"), 3.0).otherwise(1.0)
-        state = (
-            F.when(category == "beverage", beverage)
-            .when(category == "dessert", dessert)
-            .when((category == "main") & F.col("_has_main"), 0.5)
-            .otherwise(1.0)
-        )
-        tired = F.when(F.array_contains("_repeated", category), 0.3).otherwise(1.0)
         affordable = F.when(x["price"] <= F.col("_budget"), 1.0).otherwise(0.3)
         return F.when(F.array_contains("cart_items", x["item_id"]), 0.0).otherwise(
-            base * follow * state * tired * affordable
+            x["base"] * F.get("_factors", x["code"]) * affordable
         )
 
-    weighted = prepared.withColumn(
-        "_weights",
-        F.transform("pool", lambda x: F.struct(x["item_id"].alias("item_id"), weight(x).alias("w"))),
-    ).withColumn("_total", F.aggregate("_weights", F.lit(0.0), lambda acc, x: acc + x["w"]))
+    weights = F.transform("pool", lambda x: F.struct(x["item_id"].alias("item_id"), weight(x).alias("weight")))
+    weighted = prepared.withColumn("affinity", weights)
     return weighted.select(
-        *steps.columns,
-        F.transform(
-            "_weights",
-            lambda x: F.struct(x["item_id"].alias("item_id"), F.coalesce(
-                share(x["w"], F.col("_total")), F.lit(1.0) / F.size("_weights")
-            ).alias("probability")),
-        ).alias("affinity"),
+        *steps.columns, "affinity", F.aggregate("affinity", F.lit(0.0), lambda acc, x: acc + x["weight"]).alias("affinity_total")
     )
 
 
+def choice_probability(weight: Column) -> Column:
+    """Probability of one entry of ``affinity``; uniform when every weight is zero."""
+    total = F.col("affinity_total")
+    return F.when(total > 0, weight / total).otherwise(F.lit(1.0) / F.size("affinity"))
+
+
 def transition_matrix(adds: DataFrame) -> DataFrame:
     """Learned P(next category | last category) from consecutive adds."""
     order = Window.partitionBy("session_id").orderBy("step_number")

@@ -212,10 +212,11 @@ def _(m):
     budgets = m["b_users"].select("user_id", "avg_order_value")
     later = steps(m).filter(F.col("step_number") > 0).join(budgets, "user_id")
     scored = affinity.next_item_affinity(later, m["b_items"])
-    chosen = F.get(F.filter("affinity", lambda x: x["item_id"] == F.col("item_id")), 0)
-    best = F.array_max(F.transform("affinity", lambda x: x["probability"]))
+    chosen = F.get(F.filter("affinity", lambda x: x["item_id"] == F.col("item_id")), 0)["weight"]
+    best = F.array_max(F.transform("affinity", lambda x: x["weight"]))
     return scored.select("session_id", "step_number", "item_id", F.size("affinity").alias("choices"),
-                         (100.0 * chosen["probability"]).alias("added_pct"), (100.0 * best).alias("best_pct"))
+                         (100.0 * affinity.choice_probability(chosen)).alias("added_pct"),
+                         (100.0 * affinity.choice_probability(best)).alias("best_pct"))
 
 
 @query("transition_matrix")
