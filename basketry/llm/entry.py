@@ -9,6 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from basketry.llm.shared import table
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basketry.llm.warc import archive_round_trip
+
+    return archive_round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basketry.llm.bpe import encode_digests
+
+    return encode_digests(table(spark, sf_dir, "documents"))
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basketry.llm.token_store import token_round_trip
+
+    return token_round_trip(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basketry.llm.simhash import near_duplicates
 
@@ -16,7 +34,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_simhash": op9_simhash}
+    return {f.__name__: f for f in (op3_warc, op4_bpe, op5_token_store, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
