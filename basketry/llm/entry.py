@@ -27,6 +27,12 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basketry.llm.toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basketry.llm.simhash import near_duplicates
 
@@ -34,7 +40,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_warc, op4_bpe, op5_token_store, op9_simhash)}
+    return {f.__name__: f for f in (op3_warc, op4_bpe, op5_token_store, op8_toxicity, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
