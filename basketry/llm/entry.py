@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from basketry.llm.shared import table
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basketry.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basketry.llm.warc import archive_round_trip
 
@@ -40,7 +46,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_warc, op4_bpe, op5_token_store, op8_toxicity, op9_simhash)}
+    return {f.__name__: f for f in (op2_quality, op3_warc, op4_bpe, op5_token_store, op8_toxicity, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
