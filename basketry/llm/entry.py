@@ -45,8 +45,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basketry.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_warc, op4_bpe, op5_token_store, op8_toxicity, op9_simhash)}
+    return {f.__name__: f for f in (op2_quality, op3_warc, op4_bpe, op5_token_store, op8_toxicity, op9_simhash,
+                                   op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
