@@ -33,6 +33,12 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basketry.llm.language_model import score_by_fold
+
+    return score_by_fold(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basketry.llm.toxicity import classify
 
@@ -52,7 +58,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_warc, op4_bpe, op5_token_store, op8_toxicity, op9_simhash,
+    return {f.__name__: f for f in (op2_quality, op3_warc, op4_bpe, op5_token_store, op6_language_model, op8_toxicity, op9_simhash,
                                    op10_decontaminate)}
 
 
