@@ -1,7 +1,7 @@
 """Toxicity: linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Counts of the n-grams come from all labelled training rows, gathered by a grouped sum. The weights are fitted on a
-bounded sample of them, whose bound is a parameter, and only for n-grams with enough evidence.
+Counts of the n-grams and weights come from a bounded sample of the labelled training rows; the bound is a parameter.
+Weights are fitted only for n-grams with enough evidence.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from basketry.llm.shared import held_out, raw_text, reach_workers, store
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
 FEATURES = 8192
-SAMPLE = 8000  # training rows of each class at most
-SLICE = 1 << 22  # characters handled at once
+SAMPLE = 12000  # training rows of each class at most
+SLICE = 1 << 19  # characters handled at once
 
 
 @dataclass
@@ -128,8 +128,13 @@ def fit_weights(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, s
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Fit on rows with a label of 0 or 1 whose id is not held out; without both classes the model is flat."""
     reach_workers(docs.sparkSession)
-    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    texts = docs.select("doc_id", raw_text().alias("text")).join(known, "doc_id").where(F.col("doc_id").isNotNull())
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(0))
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
+    drawn = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(settings.sample)
+             for k in (0, 1)]
+    chosen = store(drawn[0].unionByName(drawn[1]), "toxicity-sample")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text().alias("text")).join(
+        F.broadcast(chosen), "doc_id")  # at most two samples of ids, so no text is shuffled
     texts = store(texts, "toxicity-training")
     counts = texts.select("text", "toxic").mapInArrow(count_buckets(settings), "bucket long, clean long, toxic long")
     counts = counts.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -146,22 +151,15 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     slots = np.full(BUCKETS, -1, dtype=np.int32)
     slots[best["bucket"].to_numpy(dtype=np.int64)] = np.arange(len(best))
     ratios = best["ratio"].to_numpy(dtype=float)
-    per_class = texts.groupBy("toxic").count().collect()
-    if len(per_class) < 2 or not len(best):
-        return Model(slots, np.zeros(max(1, len(best))), -5.0 if not any(r.toxic for r in per_class) else 5.0)
-    picked = None
-    for row in per_class:  # the sample: all rows of a class, or those with the lowest share of hashes
-        share = min(1.0, 0.9 * settings.sample / row["count"])
-        own = texts.where((F.col("toxic") == row.toxic) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)))
-        own = own.limit(settings.sample)
-        picked = own if picked is None else picked.unionByName(own)
-
+    classes = {r.toxic for r in texts.select("toxic").distinct().collect()}
+    if len(classes) < 2 or not len(best):
+        return Model(slots, np.zeros(max(1, len(best))), 5.0 if classes == {1} else -5.0)
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [x.astype(np.int32) for _, x in present(batch.column(0).to_pylist(), slots, settings.low, settings.high)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(held, pa.list_(pa.int32()))], names=["toxic", "held"])
 
-    sample = picked.select("text", "toxic").mapInArrow(hold, "toxic int, held array<int>").toArrow()
+    sample = texts.select("text", "toxic").mapInArrow(hold, "toxic int, held array<int>").toArrow()
     rows = [np.asarray(x.values) for x in sample.column("held").combine_chunks()]
     weights, intercept = fit_weights(rows, sample.column("toxic").to_numpy().astype(float), ratios, settings)
     return Model(slots, weights * ratios, intercept)
