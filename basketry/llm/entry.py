@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from basketry.llm.shared import table
 
 
+def op1_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basketry.llm.outliers import robust_outliers
+
+    return robust_outliers(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basketry.llm.quality import classify
 
@@ -58,8 +64,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_warc, op4_bpe, op5_token_store, op6_language_model, op8_toxicity, op9_simhash,
-                                   op10_decontaminate)}
+    known = (op1_outliers, op2_quality, op3_warc, op4_bpe, op5_token_store, op6_language_model, op8_toxicity,
+             op9_simhash, op10_decontaminate)
+    return {f.__name__: f for f in known}
 
 
 def oracle_sql() -> dict[str, str]:
