@@ -45,6 +45,12 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_by_fold(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basketry.llm.line_dedup import mark_lines
+
+    return mark_lines(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basketry.llm.toxicity import classify
 
@@ -64,8 +70,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    known = (op1_outliers, op2_quality, op3_warc, op4_bpe, op5_token_store, op6_language_model, op8_toxicity,
-             op9_simhash, op10_decontaminate)
+    known = (op1_outliers, op2_quality, op3_warc, op4_bpe, op5_token_store, op6_language_model, op7_line_dedup,
+             op8_toxicity, op9_simhash, op10_decontaminate)
     return {f.__name__: f for f in known}
 
 
