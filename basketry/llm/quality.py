@@ -175,3 +175,16 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataF
 
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return score(docs, train(docs, labels, settings))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``; all columns stay, no row moves."""
+    model = train(docs, labels, settings)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.array([features((x or "").encode()) for x in batch.column(place).to_pylist()]).reshape(-1, WIDTH)
+            yield batch.filter(pa.array(model.score(rows) >= threshold)) if model else batch
+
+    return docs.mapInArrow(run, docs.schema)

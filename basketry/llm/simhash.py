@@ -13,7 +13,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from xxhash import xxh64_intdigest
 
 from basketry.llm.shared import components, raw_text, reach_workers, store
@@ -188,3 +188,17 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     out = prints.join(store(groups, "groups"), "print", "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"),
                       F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, radius: int = 2) -> DataFrame:
+    """One document of each group of near-duplicates, that of the smallest doc_id; all columns stay.
+
+    Rows without an id cannot be told from their group's first document by id: they stay, equal texts among them once.
+    Of rows with the same id one stays.
+    """
+    gone = near_duplicates(docs, radius).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = store(gone, "near-duplicates")
+    rest = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), text)).orderBy(text)
+    return rest.withColumn("_turn", F.row_number().over(same)).where("_turn = 1").drop("_turn")
