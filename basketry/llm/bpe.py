@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from basketry.llm.pretokens import WORD_PIECES, is_latin
+from basketry.llm.pretokens import WORD_PIECES, byte_letters, is_latin
 from basketry.llm.shared import raw_text, reach_workers
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -28,13 +28,6 @@ WORDS_KEPT = 300_000  # bound of the word memory of one worker
 NEVER = np.int64(1) << 40
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte: printable Latin-1 for itself, the rest from U+0100 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(i if i in plain else next(spare)) for i in range(256)]
-
-
 class Merges:
     """Tables of a vocabulary: halves and rank of every token, and the token of every pair."""
 

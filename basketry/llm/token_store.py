@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
 from basketry.llm.files import attempt_name, make_folder, open_folder
-from basketry.llm.pretokens import SPACED_PIECES, is_latin
+from basketry.llm.pretokens import SPACED_PIECES, byte_letters, is_latin
 from basketry.llm.shared import raw_text, reach_workers, store
 from basketry.session import scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-PIECES_KEPT = 300_000  # bound of the piece memory of one worker
+PIECES_KEPT = 200_000  # bound of the piece memory of one worker
 FILE = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
 FILE_DDL = "doc_id long, at long, n_tokens long, tokens array<int>"
 MANIFEST_DDL = "part long, file string, docs long, tokens long"
@@ -47,23 +47,27 @@ class PieceEncoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.letters = dict(enumerate(byte_letters()))
         self.known = Memory()
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of one piece from the library's model, which needs no cutting."""
+        letters = piece.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.library.model.tokenize(letters)], dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
         cut = [SPACED_PIECES.findall(t) if is_latin(t) and not any(s in t for s in self.special) else None for t in texts]
-        odd = self.whole([t for t, pieces in zip(texts, cut) if pieces is None])
         new = list(set().union(*(p for p in cut if p is not None)).difference(self.known))
-        ids = self.whole(new)
+        ids = [self.piece(p) for p in new]
         room = PIECES_KEPT - len(self.known)
         self.known.update(zip(new[:room], ids))
         self.known.passing = dict(zip(new[room:], ids[room:]))
-        rest = iter(odd)
-        return [next(rest) if pieces is None else b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        return [self.whole(t) if pieces is None else b"".join(map(self.known.__getitem__, pieces))
+                for t, pieces in zip(texts, cut)]
 
 
 @lru_cache(maxsize=2)
@@ -113,8 +117,8 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
             held_tokens = 0
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                piece = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, 128):
+                piece = batch.slice(start, 128)
                 texts = [x.decode() for x in piece.column(1).to_pylist()]
                 for doc_id, ids in zip(piece.column(0).to_pylist(), encoder(vocabulary).encode(texts)):
                     held.append((doc_id, ids + end))
