@@ -176,7 +176,8 @@ def read_archives(manifest: DataFrame, folder: str, payload: bool = True) -> Dat
                             rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, RECORD)
 
-    return manifest.select("file").repartition(F.col("file")).mapInArrow(read, RECORD_DDL)
+    # as many tasks as files, which have about the same size; a plain repartition by key would be merged again
+    return manifest.select("file").repartition(max(1, manifest.count())).mapInArrow(read, RECORD_DDL)
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
