@@ -126,7 +126,7 @@ class Merges:
     def words(self, words: list[str]) -> tuple[list[list[int]], int]:
         """Ids of every word, and how many words needed exact merging."""
         proposed = [self.propose(w) for w in words]
-        sizes = np.array([len(p) for p in proposed])
+        sizes = np.array([len(p) for p in proposed], dtype=np.int64)
         flat = np.fromiter((x for p in proposed for x in p), dtype=np.int64, count=int(sizes.sum()))
         owner = np.repeat(np.arange(len(words)), sizes)
         inner = np.nonzero(owner[1:] == owner[:-1])[0]

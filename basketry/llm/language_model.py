@@ -98,13 +98,13 @@ def segment_of(grams: np.ndarray, segments: int) -> np.ndarray:
     return (mixed(grams * STEP) >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)
 
 
-def positions(grams: np.ndarray, level: int, probe: int) -> np.ndarray:
+def positions(grams: np.ndarray, level: int, probe: int, bits: int = SEGMENT_BITS) -> np.ndarray:
     """Bit of a segment for an n-gram at a level."""
     x = mixed(grams + np.uint64(level * int(STEP) & 2**64 - 1))
-    return (x + np.uint64(probe) * (mixed(x) | np.uint64(1))) & np.uint64((1 << SEGMENT_BITS) - 1)
+    return (x + np.uint64(probe) * (mixed(x) | np.uint64(1))) & np.uint64((1 << bits) - 1)
 
 
-def build_segments(counts: DataFrame, segments: int) -> DataFrame:
+def build_segments(counts: DataFrame, segments: int, size: int = SEGMENT_BITS) -> DataFrame:
     """(segment, bits): the filter over rows (gram, times)."""
     def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,11 +130,11 @@ def build_segments(counts: DataFrame, segments: int) -> DataFrame:
                 if owners[a] != open_:
                     if open_ is not None:
                         yield done()
-                    open_, bits = int(owners[a]), np.zeros(1 << SEGMENT_BITS, dtype=bool)
+                    open_, bits = int(owners[a]), np.zeros(1 << size, dtype=bool)
                 for level in range(1, int(tops[a:b].max()) + 1):
                     held = grams[a:b][tops[a:b] >= level]
                     for probe in range(PROBES):
-                        bits[positions(held, level, probe)] = True
+                        bits[positions(held, level, probe, size)] = True
         if open_ is not None:
             yield done()
 
@@ -142,16 +142,17 @@ def build_segments(counts: DataFrame, segments: int) -> DataFrame:
     return rows.repartition("segment").sortWithinPartitions("segment").mapInArrow(fill, "segment int, bits binary")
 
 
-def probe_levels(grams: np.ndarray, low: int, high: int, segments: int, packed: np.ndarray) -> np.ndarray:
+def probe_levels(grams: np.ndarray, low: int, high: int, segments: int, packed: np.ndarray,
+                 size: int = SEGMENT_BITS) -> np.ndarray:
     """Levels of n-grams whose segments are held (low..high - 1), 0 for all others."""
     out = np.zeros(len(grams), dtype=np.uint8)
     owner = segment_of(grams, segments).astype(np.int64)
     open_ = np.flatnonzero((owner >= low) & (owner < high))
     level = 1
     while len(open_) and level < 255:
-        asked, base = grams[open_], (owner[open_] - low) << SEGMENT_BITS
+        asked, base = grams[open_], (owner[open_] - low) << size
         for probe in range(PROBES):
-            at = base + positions(asked, level, probe).astype(np.int64)
+            at = base + positions(asked, level, probe, size).astype(np.int64)
             hit = (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             open_, asked, base = open_[hit], asked[hit], base[hit]
         out[open_] = level
@@ -165,7 +166,8 @@ def expected(levels: np.ndarray) -> np.ndarray:
     return table[levels]
 
 
-def score_documents(docs: DataFrame, training: DataFrame, round_bytes: int = ROUND_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, training: DataFrame, round_bytes: int = ROUND_BYTES,
+                    segment_bits: int = SEGMENT_BITS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, one row per row of ``docs``.
 
     ``base_score`` uses exact counts: those of the most frequent words travel to the workers (a fixed number of them),
@@ -184,22 +186,22 @@ def score_documents(docs: DataFrame, training: DataFrame, round_bytes: int = ROU
                                                          F.sum(level).alias("levels")).collect()}
     total, types = (int(sums[1].total), int(sums[1].types)) if sums else (0, 0)
     insertions = sum(int(r.levels) for r in sums.values())
-    segments = max(1, -(-insertions * BITS_PER_INSERTION >> SEGMENT_BITS))
-    filled = store(build_segments(counts, segments), "bloom-segments")
+    segments = max(1, -(-insertions * BITS_PER_INSERTION >> segment_bits))
+    filled = store(build_segments(counts, segments, segment_bits), "bloom-segments")
     scale = total + 0.5 * (types + 1)
 
     hot = words.orderBy(F.desc("times"), "gram").limit(HOT_WORDS).toArrow()  # a fixed number of rows
     order = np.argsort(hot.column("gram").to_numpy())
     hot_grams, hot_times = hot.column("gram").to_numpy()[order], hot.column("times").to_numpy()[order].astype(float)
 
-    per_round = max(1, round_bytes >> (SEGMENT_BITS - 3))
+    per_round = max(1, round_bytes >> (segment_bits - 3))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                        raw_text().alias("text"), F.lit(None).cast("binary").alias("levels"))
     rounds = [(k, min(k + per_round, segments)) for k in range(0, segments, per_round)]
     for k, (low, high) in enumerate(rounds):
-        packed = np.zeros((high - low) << (SEGMENT_BITS - 3), dtype=np.uint8)
+        packed = np.zeros((high - low) << (segment_bits - 3), dtype=np.uint8)
         for r in filled.where(F.col("segment").between(low, high - 1)).toLocalIterator():
-            at = (r.segment - low) << (SEGMENT_BITS - 3)
+            at = (r.segment - low) << (segment_bits - 3)
             packed[at:at + len(r.bits)] = np.frombuffer(r.bits, dtype=np.uint8)
         held = spark.sparkContext.broadcast(packed)  # at most round_bytes
         last = k == len(rounds) - 1
@@ -208,8 +210,8 @@ def score_documents(docs: DataFrame, training: DataFrame, round_bytes: int = ROU
             for batch in batches:
                 texts, before = batch.column(2).to_pylist(), batch.column(3)
                 for start, hashes, sizes in laid_out(texts):
-                    levels = np.concatenate([probe_levels(hashes, low, high, segments, held.value),
-                                             probe_levels(pairs(hashes, sizes), low, high, segments, held.value)])
+                    levels = np.concatenate([probe_levels(hashes, low, high, segments, held.value, segment_bits),
+                                             probe_levels(pairs(hashes, sizes), low, high, segments, held.value, segment_bits)])
                     part = batch.slice(start, len(sizes))
                     if before.null_count < len(before):
                         known = np.frombuffer(b"".join(before.slice(start, len(sizes)).to_pylist()), dtype=np.uint8)
