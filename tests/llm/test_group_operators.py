@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
@@ -105,14 +106,8 @@ def plain_lines(rows, spark):
         marks[r.line] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in r.h) > len(r.h))
 
     def similar(a, b):
-        allowed = int(max(len(a), len(b)) * 0.2 + 1e-9)
-        row = list(range(len(b) + 1))
-        for i, c in enumerate(a):
-            new = [i + 1]
-            for j, x in enumerate(b):
-                new.append(min(row[j] + (x != c), row[j + 1] + 1, new[j] + 1))
-            row = new
-        return row[-1] <= allowed
+        edits = duckdb.execute("select levenshtein(?, ?)", [a, b]).fetchone()[0]
+        return edits <= int(max(len(a), len(b)) * 0.2 + 1e-9)
 
     links = [(a, b) for i, a in enumerate(lines) for b in lines[i + 1:]
              if (marks[a] ^ marks[b]).bit_count() <= line_dedup.RADIUS and similar(a, b)]
@@ -138,14 +133,15 @@ def test_fuzzy_lines(spark, odd, no_rows):
                 line = line[:at] + rng.choice(["s", "  ", "T"]) + line[at + 1:]
             lines.insert(rng.randrange(len(lines) + 1), line)
         rows.append((i, "\n".join(lines + ["too few words"])))
-    long = " ".join(prose(rng, 70).split())
+    long = " ".join(prose(rng, 300).split())
     for i in range(60, 85):  # many like lines in the same buckets
         at = rng.randrange(len(long))
         rows.append((i, long[:at] + "q" + long[at + 1:]))
     expected, links = plain_lines(rows, spark)
     docs = spark.createDataFrame([(*r, "en", "a", len(r[1])) for r in rows], SCHEMA)
     got = {r.doc_id: list(r.removed) for r in line_dedup.mark_lines(docs).collect() if r.n_removed}
-    assert got == expected and links > 100
+    assert got == expected
+    assert links > 50
     after = {r.doc_id: r for r in line_dedup.drop_lines(docs).collect()}
     for doc_id, text in rows:
         kept = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in expected.get(doc_id, []))

@@ -205,12 +205,8 @@ def test_language_model(spark, odd, no_rows, corpus):
     # several broadcast rounds give the same scores
     one = sorted((str(r.doc_id), round(r.score, 6)) for r in got)
     training = docs.where(~held_out(1))
-    bits, language_model.SEGMENT_BITS = language_model.SEGMENT_BITS, 12
-    try:
-        several = language_model.score_documents(docs, training, round_bytes=4096).collect()
-        single = language_model.score_documents(docs, training).collect()
-    finally:
-        language_model.SEGMENT_BITS = bits
+    several = language_model.score_documents(docs, training, round_bytes=4096, segment_bits=12).collect()
+    single = language_model.score_documents(docs, training, segment_bits=12).collect()
     assert sorted((str(r.doc_id), round(r.score, 6)) for r in several) == sorted((str(r.doc_id), round(r.score, 6)) for r in single)
     assert np.mean([abs(a[1] - b[1]) < 0.05 * abs(b[1]) for a, b in zip(one, sorted((str(r.doc_id), round(r.score, 6)) for r in single))]) > 0.9
     assert language_model.score_by_fold(no_rows).count() == 0
@@ -219,7 +215,7 @@ def test_language_model(spark, odd, no_rows, corpus):
 def test_bloom_levels_never_fall_short():
     grams = np.random.default_rng(3).integers(0, 2**63, 4000).astype(np.uint64)
     tops = np.arange(4000) % 6
-    bits = np.zeros(1 << language_model.SEGMENT_BITS, dtype=bool)
+    bits = np.zeros(1 << 22, dtype=bool)
     for level in range(1, 6):
         for probe in range(language_model.PROBES):
             bits[language_model.positions(grams[tops >= level], level, probe)] = True
