@@ -52,10 +52,11 @@ def clean_rating(col: Column) -> Column:
 
 
 def clean_votes(col: Column) -> Column:
+    """Vote count; 0 where there is none or it exceeds a long."""
     text = F.lower(strip(col))
     compact = F.regexp_replace(text, "[, ]", "")
     unit = F.when(compact.endswith("k"), 1e3).when(compact.endswith("m"), 1e6).otherwise(1.0)
-    votes = F.when(~text.isin(vocab.VOTES_MISSING), (first_number(compact) * unit).cast("long"))
+    votes = F.when(~text.isin(vocab.VOTES_MISSING), (first_number(compact) * unit).try_cast("long"))
     return F.coalesce(votes, F.lit(0).cast("long"))
 
 
@@ -90,5 +91,5 @@ def merchant_key(name: Column, city: Column, place: Column) -> Column:
 
 
 def item_key(restaurant_id: Column, name: Column, price: Column) -> Column:
-    price_text = F.coalesce(price.cast("decimal(18,2)").cast("string"), F.lit("0"))
+    price_text = F.coalesce(price.try_cast("decimal(38,2)").cast("string"), F.lit("0"))
     return short_id("ITEM_", F.lower(restaurant_id), F.lower(strip(name)), price_text)

@@ -6,14 +6,18 @@ from pyspark.sql import Column, functions as F
 
 
 def fixed(col: Column, digits: int = 6) -> Column:
-    """Round half up at ``digits`` decimals with plain double arithmetic."""
+    """Round half up at ``digits`` decimals with plain double arithmetic.
+
+    Where the scaled value has no fraction left in a double (2^53 and more), and for NaN, the value stays as it is.
+    """
     scale = float(10**digits)
-    return F.floor(col * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    exact = F.floor(col * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    return F.when(F.abs(col) * F.lit(scale) < F.lit(float(2**53)), exact).otherwise(col)
 
 
 def money(col: Column) -> Column:
     """Exact amount: sums no longer depend on the order in which rows arrive."""
-    return col.cast("decimal(18,2)")
+    return col.try_cast("decimal(28,2)")
 
 
 def clip(col: Column, low: float, high: float) -> Column:
@@ -21,10 +25,6 @@ def clip(col: Column, low: float, high: float) -> Column:
     return F.when(col.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), col)))
 
 
-def zscore(col: Column, mean: Column, std: Column) -> Column:
-    return (col - mean) / std
-
-
 def share(part: Column, whole: Column) -> Column:
     """Ratio that is null when the base is empty or zero."""
     return F.try_divide(part.cast("double"), whole.cast("double"))
@@ -41,4 +41,4 @@ def order_bucket(col: Column, resolution: int = 1024) -> Column:
 
 def exact_mean(col: Column, scale: int = 4) -> Column:
     """Mean from an exact decimal sum, so the result does not depend on row order."""
-    return F.try_divide(F.sum(col.cast(f"decimal(18,{scale})")).cast("double"), F.count(col).cast("double"))
+    return F.try_divide(F.sum(col.try_cast(f"decimal(28,{scale})")).cast("double"), F.count(col).cast("double"))

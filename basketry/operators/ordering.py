@@ -46,10 +46,10 @@ def ranked(df: DataFrame, group: list[str], score: Column, ties: list[Column], n
 def dense_index(df: DataFrame, key: str, bucket: Column | None = None) -> DataFrame:
     """Index 0..n-1 in key order. ``bucket`` must be monotone in the key.
 
-    For text keys pass a prefix long enough to spread them, such as ``substring(key, 1, 8)``.
+    Text keys go by their first eight characters, three beyond the prefix that ids of one kind share.
     """
     text = dict(df.dtypes)[key] == "string"
-    where = bucket if bucket is not None else (F.substring(key, 1, 4) if text else order_bucket(F.col(key), 4096))
+    where = bucket if bucket is not None else (F.substring(key, 1, 8) if text else order_bucket(F.col(key), 4096))
     indexed = running(df, [], where, [F.col(key)], {"idx": F.lit(1).cast("long")})
     return indexed.withColumn("idx", F.col("idx") - 1)
 

@@ -187,11 +187,12 @@ def _(m):
 def _(m):
     """Items of the restaurant that no cart of the session holds, counted per session."""
     carts = seq.step_state(typed_adds(m)).filter(F.size("cart_items") > 0)
-    pools = menu.pool_arrays(menu.cap_menu(m["b_items"], 50), "item_rank", 50, ["item_id"])
-    free = F.filter("pool", lambda x: ~F.array_contains("cart_items", x["item_id"]))
-    return carts.join(pools, "restaurant_id").select(
-        "session_id", "step_number", F.size(free).alias("free_items"),
-        F.aggregate(free, F.lit(0).cast("long"), lambda a, x: a + x["item_id"]).alias("free_id_sum"),
+    menus = m["b_items"].groupBy("restaurant_id").agg(F.collect_set("item_id").alias("menu"))
+    free = carts.join(menus, "restaurant_id").select(
+        "session_id", "step_number", F.array_except("menu", "cart_items").alias("free"))
+    return free.select(
+        "session_id", "step_number", F.size("free").alias("free_items"),
+        F.aggregate("free", F.lit(0).cast("long"), lambda a, x: a + x).alias("free_id_sum"),
     )
 
 

@@ -18,7 +18,8 @@ FINAL: dict[str, str] = {}
 
 
 def r(x: str, n: int = 6) -> str:
-    return f"(floor(CAST(({x}) AS DOUBLE) * 1e{n} + 0.5) / 1e{n})"
+    d = f"CAST(({x}) AS DOUBLE)"
+    return f"(CASE WHEN abs({d}) * 1e{n} < 9007199254740992 THEN floor({d} * 1e{n} + 0.5) / 1e{n} ELSE {d} END)"
 
 
 def xmean(x: str, scale: int = 4) -> str:
@@ -548,7 +549,7 @@ FINAL |= {
         FROM (SELECT session_id, restaurant_id FROM o_adds WHERE step_number = 0) f JOIN o_popular p USING (restaurant_id)
         WHERE NOT EXISTS (SELECT 1 FROM b_adds a WHERE a.session_id = f.session_id AND a.item_id = p.item_id) QUALIFY pool_rank <= 10""",
     "anti_join_cart": """SELECT s.session_id, s.step_number, count(p.item_id) AS free_items, CAST(coalesce(sum(p.item_id), 0) AS BIGINT) AS free_id_sum
-        FROM o_state s LEFT JOIN (SELECT * FROM o_menu_rank WHERE item_rank <= 50) p
+        FROM o_state s LEFT JOIN (SELECT restaurant_id, item_id FROM b_items) p
         ON p.restaurant_id = s.restaurant_id AND NOT list_contains(s.cart_items, p.item_id)
         WHERE s.step_number > 0 GROUP BY s.session_id, s.step_number""",
     "transition_matrix": f"""SELECT from_category, to_category, n, {r('n / sum(n) OVER (PARTITION BY from_category)')} AS rate FROM (

@@ -5,8 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.functions import cleaning as c, context, keywords
-from basketry.operators import catalogue, evaluate, features, menu
+from basketry.functions import cleaning as c, context, keywords, numeric
+from basketry.operators import catalogue, embeddings, evaluate, features, menu, ordering
 
 
 def apply(spark, build, values):
@@ -18,8 +18,8 @@ def apply(spark, build, values):
     (c.clean_city, {" bombay,": "Mumbai", "BLR": "Bangalore", "chef's town": "Chef'S Town", None: "Unknown"}),
     (c.clean_cuisine, {"Fastfood, Pizza": "Fast Food", "tex-mex": "Tex-Mex", None: "Other"}),
     (c.clean_rating, {"4.25/5": 4.25, "NEW": None, "7.1": None, "--": None}),
-    (c.clean_votes, {"1,234": 1234, "2.5K": 2500, "1M": 1000000, "new": 0, None: 0}),
-    (c.clean_price, {"₹ 1,299": 1299.0, "150-200": 150.0, "free": None, "-5": 5.0}),
+    (c.clean_votes, {"1,234": 1234, "2.5K": 2500, "1M": 1000000, "new": 0, "9" * 25: 0, None: 0}),
+    (c.clean_price, {"₹ 1,299": 1299.0, "150-200": 150.0, "free": None, "-5": 5.0, "100000000000000000": 1e17, "12345678901234567890": 12345678901234567890.0}),
     (c.clean_item_name, {'  "Masala   Dosa." ': "masala dosa", None: ""}),
     (c.clean_bestseller, {"MUST TRY": 1, "1": 1, "x": 0, None: 0}),
     (keywords.cuisine_fallback, {"Cafe": "beverage", "Royal North Indian": "main", "Nordic": None, None: None}),
@@ -96,3 +96,28 @@ def test_keys_are_shared_by_both_tables(spark):
     assert merchants.count() == 1 and merchants.first()["dining_votes"] == 12
     items = catalogue.menu_items(rows, merchants).collect()
     assert len(items) == 1 and items[0]["item_votes"] == 9 and items[0]["price"] == 200.0
+
+
+def test_large_values_are_kept(spark):
+    df = spark.createDataFrame([(1e13,), (-1e13,), (2.5e300,), (1.2345675,), (float("nan"),), (None,)], "x double")
+    got = [r[0] for r in df.select(numeric.fixed(F.col("x"))).collect()]
+    assert got[:4] == [1e13, -1e13, 2.5e300, 1.234568] and math.isnan(got[4]) and got[5] is None
+    price = df.limit(1).select(F.lit(1e17).alias("p"))
+    assert price.select(c.item_key(F.lit("r"), F.lit("n"), F.col("p")), numeric.money(F.col("p"))).first()[1] == 10**17
+    assert price.agg(numeric.exact_mean(F.col("p"))).first()[0] == 1e17
+
+
+def test_text_index_uses_many_buckets(spark):
+    ids = spark.createDataFrame([(f"ITEM_{i * 7919 % 4096:03X}{i:06X}",) for i in range(600)], "item_id string")
+    assert ids.select(F.substring("item_id", 1, 8)).distinct().count() > 500
+    got = {r.item_id: r.idx for r in ordering.dense_index(ids, "item_id").collect()}
+    assert got == {x: k for k, x in enumerate(sorted(got))}
+
+
+def test_similar_items_has_no_query_limit(spark):
+    rows = [(i, [math.cos(i), math.sin(i)] + [0.0] * 62) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "item_id long, vector array<double>")
+    keys = vectors.select("item_id")
+    blocks = embeddings.similar_items(vectors, keys, 3, block=7).collect()
+    assert sorted(map(tuple, blocks)) == sorted(map(tuple, embeddings.similar_items(vectors, keys, 3).collect()))
+    assert len(blocks) == 180
