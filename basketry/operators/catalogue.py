@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from basketry.functions import cleaning as c
 from basketry.operators.ordering import quantile
 
 
-def clean_rows(raw: DataFrame) -> DataFrame:
-    """All cleaned columns and both ids in one projection.
+RESTAURANT_COLUMNS = ["restaurant_name", "city", "place", "cuisine", "delivery_rating", "delivery_votes", "dining_rating",
+                      "dining_votes"]
 
-    Restaurants and menu items are both taken from this frame, hence share their keys.
-    """
-    cleaned = raw.select(
+
+def _restaurant_columns() -> list[Column]:
+    return [
         c.strip(F.col("restaurant_name")).alias("restaurant_name"),
         c.clean_city(F.col("city")).alias("city"),
         c.strip(F.col("place")).alias("place"),
@@ -22,14 +22,31 @@ def clean_rows(raw: DataFrame) -> DataFrame:
         c.clean_votes(F.col("delivery_votes")).alias("delivery_votes"),
         c.clean_rating(F.col("dining_rating")).alias("dining_rating"),
         c.clean_votes(F.col("dining_votes")).alias("dining_votes"),
+    ]
+
+
+def _with_restaurant_id(df: DataFrame) -> DataFrame:
+    return df.withColumn("restaurant_id", c.merchant_key(F.col("restaurant_name"), F.col("city"), F.col("place")))
+
+
+def clean_restaurants(raw: DataFrame) -> DataFrame:
+    """The restaurant columns alone: every distinct spelling is cleaned once, however many menu rows repeat it."""
+    return _with_restaurant_id(raw.select(*RESTAURANT_COLUMNS).distinct().select(*_restaurant_columns()))
+
+
+def clean_rows(raw: DataFrame) -> DataFrame:
+    """All cleaned columns and both ids in one projection.
+
+    Restaurants and menu items are both taken from this frame, hence share their keys.
+    """
+    cleaned = raw.select(
+        *_restaurant_columns(),
         c.clean_item_name(F.col("item_name")).alias("item_name"),
         c.clean_price(F.col("price")).alias("price"),
         c.clean_votes(F.col("item_votes")).alias("item_votes"),
         c.clean_bestseller(F.col("best_seller")).alias("best_seller"),
     )
-    keyed = cleaned.withColumn(
-        "restaurant_id", c.merchant_key(F.col("restaurant_name"), F.col("city"), F.col("place"))
-    )
+    keyed = _with_restaurant_id(cleaned)
     return keyed.withColumn("item_id", c.item_key(F.col("restaurant_id"), F.col("item_name"), F.col("price")))
 
 

@@ -15,6 +15,10 @@ def rows(m: CartModel) -> DataFrame:
     return catalogue.clean_rows(m["b_raw_menu"])
 
 
+def restaurant_rows(m: CartModel) -> DataFrame:
+    return catalogue.clean_restaurants(m["b_raw_menu"])
+
+
 def dishes(m: CartModel) -> DataFrame:
     """Dishes with their restaurant's cuisine; the restaurant table has one row per restaurant."""
     cuisines = m["b_merchants"].select("restaurant_id", "cuisine")
@@ -80,28 +84,28 @@ def _(m):
 
 @query("dedupe_merchants")
 def _(m):
-    return catalogue.dedupe_merchants(catalogue.filter_named(rows(m)))
+    return catalogue.dedupe_merchants(catalogue.filter_named(restaurant_rows(m)))
 
 
 @query("impute_median")
 def _(m):
-    return catalogue.restaurants(rows(m))
+    return catalogue.restaurants(restaurant_rows(m))
 
 
 @query("join_known_merchant")
 def _(m):
-    known = catalogue.restaurants(rows(m))
+    known = catalogue.restaurants(restaurant_rows(m))
     return counted(catalogue.join_known_merchant(catalogue.filter_priced(rows(m)), known), "restaurant_id")
 
 
 @query("dedupe_items")
 def _(m):
-    return catalogue.menu_items(rows(m), catalogue.restaurants(rows(m)))
+    return catalogue.menu_items(rows(m), catalogue.restaurants(restaurant_rows(m)))
 
 
 @query("cleaning_summary")
 def _(m):
-    merchants = catalogue.restaurants(rows(m))
+    merchants = catalogue.restaurants(restaurant_rows(m))
     return catalogue.cleaning_summary(m["b_raw_menu"], merchants, catalogue.menu_items(rows(m), merchants))
 
 
@@ -269,7 +273,7 @@ def _(m):
 def _(m):
     from basketry.operators.reports import integrity_anti_joins
 
-    return integrity_anti_joins(catalogue.dedupe_merchants(catalogue.filter_named(rows(m))), catalogue.filter_priced(rows(m)))
+    return integrity_anti_joins(catalogue.dedupe_merchants(catalogue.filter_named(restaurant_rows(m))), catalogue.filter_priced(rows(m)))
 
 
 @query("id_set_diff")

@@ -8,7 +8,7 @@ from basketry.functions import context
 from basketry.operators import catalogue, cooccurrence as co, evaluate as ev, features as ft, menu, policy, reports
 from basketry.operators.recommend import recommend_cooc
 from basketry.plans.cart_queries import dense_edges, events, steps, typed_adds
-from basketry.plans.catalogue_queries import counted, dishes, rows
+from basketry.plans.catalogue_queries import counted, dishes, restaurant_rows, rows
 from basketry.plans.feature_queries import item_table, training
 from basketry.plans.registry import query
 from basketry.sources.bindings import CartModel
@@ -107,7 +107,7 @@ def _(m):
 
 @query("profile_merchants")
 def _(m):
-    return reports.profile_merchants(catalogue.restaurants(rows(m)))
+    return reports.profile_merchants(catalogue.restaurants(restaurant_rows(m)))
 
 
 @query("profile_items")
@@ -117,12 +117,12 @@ def _(m):
 
 @query("menu_size_anomalies")
 def _(m):
-    return reports.menu_size_anomalies(catalogue.menu_items(rows(m), catalogue.restaurants(rows(m))))
+    return reports.menu_size_anomalies(catalogue.menu_items(rows(m), catalogue.restaurants(restaurant_rows(m))))
 
 
 @query("price_outliers")
 def _(m):
-    return reports.price_outliers(catalogue.menu_items(rows(m), catalogue.restaurants(rows(m))))
+    return reports.price_outliers(catalogue.menu_items(rows(m), catalogue.restaurants(restaurant_rows(m))))
 
 
 @query("session_summary")
@@ -163,7 +163,7 @@ def _(m):
 
 @query("recommended_actions")
 def _(m):
-    merchants = catalogue.restaurants(rows(m))
+    merchants = catalogue.restaurants(restaurant_rows(m))
     items = catalogue.filter_priced(rows(m)).withColumn("item_category", F.lit("unknown"))
     return reports.recommended_actions(merchants, catalogue.keep_best(
         items.select("item_id", "restaurant_id", "price", "item_category"), "item_id", ["price"]))
