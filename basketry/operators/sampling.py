@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from basketry import vocab
@@ -46,6 +48,19 @@ def with_negatives(
     return joined.withColumn("negatives", drawn).drop("pool", "_key")
 
 
+def union_events(*tables: DataFrame) -> DataFrame:
+    """Event tables one after another by column name; columns that a table lacks are null.
+
+    Nothing is shuffled; ``repeated_events`` finds events that two tables share.
+    """
+    return reduce(lambda one, two: one.unionByName(two, allowMissingColumns=True), tables)
+
+
+def repeated_events(events: DataFrame, key: tuple[str, ...] = ("session_id", "step_number", "candidate_item")) -> DataFrame:
+    """Keys that occur more than once, with their number."""
+    return events.groupBy(*key).agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > 1)
+
+
 def cart_events(steps: DataFrame, items: DataFrame, **sampling) -> DataFrame:
     """One row per shown item: the added one (label 1) and its negatives (label 0)."""
     sampled = with_negatives(steps, items, **sampling)

@@ -161,7 +161,9 @@ def _(m):
 
 @query("union_events")
 def _(m):
-    return counted(events(m), "candidate_item", "label", "meal_type", "user_type")
+    shown = events(m)
+    added, passed = shown.filter("label = 1"), shown.filter("label = 0").drop("hour")
+    return counted(sampling.union_events(added, passed), "candidate_item", "label", "meal_type", "user_type")
 
 
 @query("session_sample")

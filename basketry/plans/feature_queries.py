@@ -364,7 +364,7 @@ def _(m):
 
 @query("write_events")
 def _(m):
-    stored = sinks.write_events(events(m), scratch_path(m.spark, "events"), "month", 1)
+    stored = sinks.write_events(events(m), scratch_path(m.spark, "events"), "month")
     return counted(stored.withColumn("event_date", F.date_format("event_date", "yyyy-MM-dd")), "event_date", "label")
 
 

@@ -13,21 +13,29 @@ CSV_OPTIONS = {
 RAW_COLUMNS = list(dict.fromkeys(vocab.RAW_HEADERS.values()))
 
 
-def read_raw_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
     """Raw export, every column as text.
 
     Only the header line is looked at for the schema. Lines that do not fit keep their text in
-    ``_corrupt_record``. Pass ``encoding="ISO-8859-1"`` for latin-1 files.
+    ``_corrupt_record``. Pass ``encoding="ISO-8859-1"`` for latin-1 files. Quoted fields may hold
+    line breaks; such files are read by one task each, so pass ``multi_line=False`` for large files
+    without them.
     """
-    header = spark.read.options(**CSV_OPTIONS).option("encoding", encoding).csv(path).schema
+    header = spark.read.options(**CSV_OPTIONS).option("encoding", encoding).option("multiLine", multi_line).csv(path).schema
     if not header.fields:
         raise ValueError(f"no header in {path}")
     fields = [T.StructField(f.name, T.StringType()) for f in header.fields]
     schema = T.StructType([*fields, T.StructField("_corrupt_record", T.StringType())])
     reader = spark.read.schema(schema).options(**CSV_OPTIONS).option("encoding", encoding)
+    reader = reader.option("multiLine", multi_line)
     return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").csv(path)
 
 
+def corrupt_rows(raw: DataFrame) -> DataFrame:
+    """One row: all rows of a raw export, and those that did not fit its header."""
+    return raw.agg(F.count(F.lit(1)).alias("rows"), F.count("_corrupt_record").alias("corrupt"))
+
+
 def normalize_headers(df: DataFrame) -> DataFrame:
     """Rename known headers, drop the rest; synonyms of one column fill each other's gaps."""
     found: dict[str, list[Column]] = {}

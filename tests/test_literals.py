@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketry.functions import cleaning as c, context, keywords, numeric
-from basketry.operators import catalogue, embeddings, evaluate, features, menu, ordering
+from basketry.operators import catalogue, embeddings, evaluate, features, menu, ordering, sampling
+from basketry.sources import readers
 
 
 def apply(spark, build, values):
@@ -121,3 +122,19 @@ def test_similar_items_has_no_query_limit(spark):
     blocks = embeddings.similar_items(vectors, keys, 3, block=7).collect()
     assert sorted(map(tuple, blocks)) == sorted(map(tuple, embeddings.similar_items(vectors, keys, 3).collect()))
     assert len(blocks) == 180
+
+
+def test_csv_with_line_breaks_and_corrupt_rows(spark, tmp_path):
+    (tmp_path / "menu.csv").write_text('item_name,price\n"masala\ndosa",80\n"a ""b""",5\nx,1,2\n')
+    raw = readers.read_raw_csv(spark, str(tmp_path / "menu.csv")).cache()
+    assert [r.item_name for r in raw.collect()][:2] == ["masala\ndosa", 'a "b"']
+    assert tuple(readers.corrupt_rows(raw).first()) == (3, 1)
+
+
+def test_union_of_event_tables(spark):
+    one = spark.createDataFrame([(1, 0, 5, 1)], "session_id long, step_number int, candidate_item long, label int")
+    two = spark.createDataFrame([(1, 0, 6, 0, "x"), (1, 0, 5, 0, "y")],
+                                "session_id long, step_number int, candidate_item long, label int, meal_type string")
+    both = sampling.union_events(one, two)
+    assert sorted((r.candidate_item, r.label, r.meal_type) for r in both.collect()) == [(5, 0, "y"), (5, 1, None), (6, 0, "x")]
+    assert [tuple(r) for r in sampling.repeated_events(both).collect()] == [(1, 0, 5, 2)]
