@@ -4,7 +4,8 @@ Counts of words and word pairs are gathered over all training documents by group
 level 1 + floor(log c / log BASE): the n-gram is inserted once for each level up to its own. A probe asks for level
 1, 2, ... until the filter says no, which gives the quantised count. The filter is an array of segments chosen by the
 n-gram's hash, each built in one task. Workers get the segments by broadcast, in rounds of bounded size; every round
-notes the levels it finds, and the probabilities are formed from the levels of all rounds.
+notes the levels it finds, and the probabilities are formed from the levels of all rounds. All bits of an n-gram lie in
+one 64-byte block, those of one level in one word of it, so that its probes touch memory once.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from xxhash import xxh3_64_intdigest
 from basketry.llm.shared import held_out, raw_text, reach_workers, store
 
 BASE = 1.5
-PROBES = 3
+PROBES = 3  # bits of a word for each level
 SEGMENT_BITS = 22  # bits of one segment, as a power of two
-BITS_PER_INSERTION = 10
+BITS_PER_INSERTION = 12
 ROUND_BYTES = 128 << 20  # segments broadcast at once
 HOT_WORDS = 1 << 16  # words whose exact counts go to every worker
 WORDS_KEPT = 300_000  # bound of the hash memory of one worker
@@ -98,10 +99,14 @@ def segment_of(grams: np.ndarray, segments: int) -> np.ndarray:
     return (mixed(grams * STEP) >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)
 
 
-def positions(grams: np.ndarray, level: int, probe: int, bits: int = SEGMENT_BITS) -> np.ndarray:
-    """Bit of a segment for an n-gram at a level."""
+def words_and_masks(grams: np.ndarray, level: int, bits: int = SEGMENT_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Word of a segment, and the bits in it, for n-grams at a level."""
     x = mixed(grams + np.uint64(level * int(STEP) & 2**64 - 1))
-    return (x + np.uint64(probe) * (mixed(x) | np.uint64(1))) & np.uint64((1 << bits) - 1)
+    block = mixed(grams ^ PAIR) & np.uint64((1 << (bits - 9)) - 1)
+    mask = np.zeros(len(grams), dtype=np.uint64)
+    for probe in range(PROBES):
+        mask |= np.uint64(1) << ((x >> np.uint64(8 + 6 * probe)) & np.uint64(63))
+    return ((block << np.uint64(3)) | (x & np.uint64(7))).astype(np.int64), mask
 
 
 def build_segments(counts: DataFrame, segments: int, size: int = SEGMENT_BITS) -> DataFrame:
@@ -118,7 +123,7 @@ def build_segments(counts: DataFrame, segments: int, size: int = SEGMENT_BITS) -
 
         def done() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([open_], pa.int32()),
-                                               pa.array([np.packbits(bits, bitorder="little").tobytes()])], names=["segment", "bits"])
+                                               pa.array([bits.tobytes()], pa.binary())], names=["segment", "bits"])
 
         for batch in batches:
             owners = batch.column(0).to_numpy()
@@ -130,11 +135,10 @@ def build_segments(counts: DataFrame, segments: int, size: int = SEGMENT_BITS) -
                 if owners[a] != open_:
                     if open_ is not None:
                         yield done()
-                    open_, bits = int(owners[a]), np.zeros(1 << size, dtype=bool)
+                    open_, bits = int(owners[a]), np.zeros(1 << (size - 6), dtype=np.uint64)
                 for level in range(1, int(tops[a:b].max()) + 1):
                     held = grams[a:b][tops[a:b] >= level]
-                    for probe in range(PROBES):
-                        bits[positions(held, level, probe, size)] = True
+                    np.bitwise_or.at(bits, *words_and_masks(held, level, size))
         if open_ is not None:
             yield done()
 
@@ -142,22 +146,21 @@ def build_segments(counts: DataFrame, segments: int, size: int = SEGMENT_BITS) -
     return rows.repartition("segment").sortWithinPartitions("segment").mapInArrow(fill, "segment int, bits binary")
 
 
-def probe_levels(grams: np.ndarray, low: int, high: int, segments: int, packed: np.ndarray,
+def probe_levels(grams: np.ndarray, low: int, high: int, segments: int, words: np.ndarray,
                  size: int = SEGMENT_BITS) -> np.ndarray:
-    """Levels of n-grams whose segments are held (low..high - 1), 0 for all others."""
+    """Levels of n-grams whose segments are held (low..high - 1), 0 for all others. Equal n-grams are probed once."""
+    grams, places = np.unique(grams, return_inverse=True)
     out = np.zeros(len(grams), dtype=np.uint8)
     owner = segment_of(grams, segments).astype(np.int64)
     open_ = np.flatnonzero((owner >= low) & (owner < high))
     level = 1
     while len(open_) and level < 255:
-        asked, base = grams[open_], (owner[open_] - low) << size
-        for probe in range(PROBES):
-            at = base + positions(asked, level, probe, size).astype(np.int64)
-            hit = (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            open_, asked, base = open_[hit], asked[hit], base[hit]
+        at, mask = words_and_masks(grams[open_], level, size)
+        hit = words[((owner[open_] - low) << (size - 6)) + at] & mask == mask
+        open_ = open_[hit]
         out[open_] = level
         level += 1
-    return out
+    return out[places]
 
 
 def expected(levels: np.ndarray) -> np.ndarray:
@@ -199,10 +202,10 @@ def score_documents(docs: DataFrame, training: DataFrame, round_bytes: int = ROU
                        raw_text().alias("text"), F.lit(None).cast("binary").alias("levels"))
     rounds = [(k, min(k + per_round, segments)) for k in range(0, segments, per_round)]
     for k, (low, high) in enumerate(rounds):
-        packed = np.zeros((high - low) << (segment_bits - 3), dtype=np.uint8)
+        packed = np.zeros((high - low) << (segment_bits - 6), dtype=np.uint64)
         for r in filled.where(F.col("segment").between(low, high - 1)).toLocalIterator():
-            at = (r.segment - low) << (segment_bits - 3)
-            packed[at:at + len(r.bits)] = np.frombuffer(r.bits, dtype=np.uint8)
+            at = (r.segment - low) << (segment_bits - 6)
+            packed[at:at + len(r.bits) // 8] = np.frombuffer(r.bits, dtype=np.uint64)
         held = spark.sparkContext.broadcast(packed)  # at most round_bytes
         last = k == len(rounds) - 1
 
