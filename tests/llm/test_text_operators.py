@@ -215,11 +215,10 @@ def test_language_model(spark, odd, no_rows, corpus):
 def test_bloom_levels_never_fall_short():
     grams = np.random.default_rng(3).integers(0, 2**63, 4000).astype(np.uint64)
     tops = np.arange(4000) % 6
-    bits = np.zeros(1 << 22, dtype=bool)
+    words = np.zeros(1 << (language_model.SEGMENT_BITS - 6), dtype=np.uint64)
     for level in range(1, 6):
-        for probe in range(language_model.PROBES):
-            bits[language_model.positions(grams[tops >= level], level, probe)] = True
-    found = language_model.probe_levels(grams, 0, 1, 1, np.packbits(bits, bitorder="little"))
+        np.bitwise_or.at(words, *language_model.words_and_masks(grams[tops >= level], level))
+    found = language_model.probe_levels(grams, 0, 1, 1, words)
     assert (found >= tops).all() and (found != tops).mean() < 0.01
 
 
