@@ -75,5 +75,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in known}
 
 
+#: Each page's payload; of equal ones that of the largest page_id is the response. Base32 takes five bits a letter.
+OP3_SQL = """WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, payload, CAST(CAST(from_hex(sha1(payload)) AS BIT) AS VARCHAR) AS bits,
+  max(page_id) OVER (PARTITION BY payload) AS latest FROM p)
+SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1
+    + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT)
+    + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT)
+    + CAST(substr(bits, 5 * i + 5, 1) AS INT) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT NULL AND page_id <> latest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> latest THEN latest END AS refers_to
+FROM d"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": OP3_SQL}
