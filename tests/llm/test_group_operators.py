@@ -197,3 +197,12 @@ def test_pipeline_stages(spark, corpus, tmp_path):
 def test_registered_queries(spark):
     names = list(entry.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+
+
+def test_archives_equal_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
+    expected = base.execute(entry.OP3_SQL).fetchall()
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted(map(tuple, entry.op3_warc(spark, folder).select(columns).collect())) == sorted(expected)
