@@ -40,10 +40,13 @@ def scalers(m: CartModel) -> DataFrame:
 def scaled(m: CartModel) -> tuple[DataFrame, DataFrame]:
     """Feature tables with ``_norm`` columns.
 
-    The scaler table is stored once, as scoring reads it later.
+    Features and scalers are stored once: the scalers are fitted on, and applied to, the stored tables.
     """
-    stored = scalers(m)
-    return ft.apply_scalers(users(m), stored, "user"), ft.apply_scalers(merchants(m), stored, "restaurant")
+    user_table = sinks.write_table(users(m), scratch_path(m.spark, "users"))
+    merchant_table = sinks.write_table(merchants(m), scratch_path(m.spark, "merchants"))
+    fitted = ft.fit_scalers({"user": user_table, "restaurant": merchant_table})
+    stored = sinks.write_scalers(fitted, scratch_path(m.spark, "scalers"))
+    return ft.apply_scalers(user_table, stored, "user"), ft.apply_scalers(merchant_table, stored, "restaurant")
 
 
 def item_table(m: CartModel) -> DataFrame:
