@@ -24,11 +24,11 @@ def reach_workers(spark: SparkSession) -> None:
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (PACKAGE_ROOT, known) if x)
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written once to the shared folder and read back: a short lineage with a known size."""
     reach_workers(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
