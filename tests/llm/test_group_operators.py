@@ -157,7 +157,7 @@ def test_fuzzy_lines(spark, odd, no_rows):
 def test_native_plans_have_no_python(spark, corpus, capsys):
     from basketry.llm import outliers
 
-    for frame in (line_dedup.simhashes(corpus[0], 5), line_dedup.mark_lines(corpus[0]), outliers.robust_outliers(corpus[0])):
+    for frame in (line_dedup.simhashes(line_dedup.lines_of(corpus[0], min_words=5).withColumn("id", F.xxhash64("line"))), line_dedup.mark_lines(corpus[0]), outliers.robust_outliers(corpus[0])):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
 
