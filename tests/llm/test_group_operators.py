@@ -206,3 +206,37 @@ def test_archives_equal_sql(spark):
     expected = base.execute(entry.OP3_SQL).fetchall()
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     assert sorted(map(tuple, entry.op3_warc(spark, folder).select(columns).collect())) == sorted(expected)
+
+
+def test_lines_with_changed_words_and_letters_are_linked(spark):
+    rng = random.Random(21)
+    lines, pairs = [], 0
+    for size in (5, 8, 12, 20, 40, 60) * 12:
+        line = prose(rng, size).replace("\n", " ").lower()
+        copy = line.split(" ")
+        copy[rng.randrange(size)] = "other"
+        letters = list(line)
+        for at in rng.sample(range(len(letters)), len(letters) // 10):
+            letters[at] = "x"
+        for other in (" ".join(copy), "".join(letters)):
+            edits = duckdb.execute("select levenshtein(?, ?)", [line, other]).fetchone()[0]
+            if other != line and len(other.split(" ")) >= 5 and edits <= int(max(len(line), len(other)) * 0.2 + 1e-9):
+                lines += [line, other]
+                pairs += 1
+    docs = spark.createDataFrame([(i, x, "en", "a", len(x)) for i, x in enumerate(lines)], SCHEMA)
+    gone = {r.doc_id for r in line_dedup.mark_lines(docs).collect() if r.n_removed}
+    assert pairs > 120
+    assert sum(i in gone for i in range(1, len(lines), 2)) >= 0.97 * pairs
+
+
+def test_entries_of_many_lines_keep_their_links(spark):
+    rng = random.Random(22)
+    lines = []
+    for _ in range(60):  # all hold one long phrase, so that its entries are hot
+        start, end = prose(rng, 14).replace("\n", " "), prose(rng, 14).replace("\n", " ")
+        line = f"{start} a phrase that each of these lines holds {end}"
+        at = rng.randrange(len(start))
+        lines += [line, line[:at] + "x" + line[at + 1:]]
+    docs = spark.createDataFrame([(i, x, "en", "a", len(x)) for i, x in enumerate(lines)], SCHEMA)
+    gone = {r.doc_id for r in line_dedup.mark_lines(docs).collect() if r.n_removed}
+    assert gone == set(range(1, 120, 2))
