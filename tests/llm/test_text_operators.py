@@ -49,6 +49,25 @@ def test_outliers_leave_prose_and_reject_symbols(spark):
     assert not any(got[1000 + i] for i in range(12))
 
 
+def test_graded_outliers_in_a_concentrated_group(spark):
+    rng = random.Random(15)
+    rows = [(i, prose(rng, rng.randint(120, 240)), "en", "a", 0) for i in range(500)]
+    far = {}
+    for share in (0.1, 0.15, 0.2, 0.3, 0.4):
+        for _ in range(3):
+            text = prose(rng, 240)
+            spots = [k for k, c in enumerate(text) if c.isalpha()]
+            marked = set(rng.sample(spots, int(share * len(spots)) + 1))
+            far[1000 + len(far)] = "".join("#" if k in marked else c for k, c in enumerate(text))
+            lines = text.split("\n")
+            far[1000 + len(far)] = "\n".join(lines + [lines[3]] * round(len(lines) * share / (1 - share) + 0.5))
+    rows += [(i, text, "en", "a", 0) for i, text in far.items()]
+    got = {r.doc_id: r for r in outliers.robust_outliers(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not [i for i in far if got[i].kept]
+    assert sum(not got[i].base_failed for i in far) > 20  # the distance rejects them
+    assert sum(got[i].kept for i in range(500)) >= 495
+
+
 def test_mcd_inverse_matches_numpy(spark):
     rng = np.random.default_rng(1)
     z = rng.normal(size=(200, 5)) @ rng.normal(size=(5, 5))
