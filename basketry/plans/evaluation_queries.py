@@ -11,6 +11,8 @@ from basketry.plans.cart_queries import dense_edges, events, steps, typed_adds
 from basketry.plans.catalogue_queries import counted, dishes, restaurant_rows, rows
 from basketry.plans.feature_queries import item_table, training
 from basketry.plans.registry import query
+from basketry.session import scratch_path
+from basketry.sources import sinks
 from basketry.sources.bindings import CartModel
 from basketry.streaming import jobs
 
@@ -191,17 +193,24 @@ def _(m):
     return jobs.run_to_table(jobs.activity_sessions(jobs.stream_table(m.spark, m.sf_dir, "events")), "visits")
 
 
-@query("stream_recommend")
-def _(m):
-    """Requests arrive as order lines; every micro-batch answers the carts it holds."""
-    graph = dense_edges(m)
+def recommend_stream(m: CartModel, lines: DataFrame, delay: str = "10000 days") -> DataFrame:
+    """Answers to carts that arrive as order lines; a cart may be cut over many files.
+
+    The order table has no arrival order, so by default a line may come any time after its order's date and carts
+    close when the input ends. The graph is stored once and read by every batch.
+    """
+    graph = sinks.write_table(dense_edges(m).select("src", "dst", "prob"), scratch_path(m.spark, "graph"))
     names = m["b_items"].select("item_id", "item_name")
+    dated = m["b_sessions"].select("session_id", F.col("ts").cast("timestamp").alias("ts"))
+    placed = lines.join(names, lines["l_partkey"] == names["item_id"]).join(dated, lines["l_orderkey"] == dated["session_id"])
+    adds = placed.select(F.col("session_id").alias("request_id"), F.col("item_name").alias("item_id"), "ts")
 
     def answer(batch: DataFrame) -> DataFrame:
-        carts = batch.join(names, batch["l_partkey"] == names["item_id"]).select(
-            F.col("l_orderkey").alias("request_id"), F.col("item_name").alias("item_id")
-        ).distinct()
-        return recommend_cooc(carts, graph)
+        return recommend_cooc(batch.select("request_id", F.explode("items").alias("item_id")), graph)
+
+    return jobs.run_closed(adds, "answers", answer, lambda stream: jobs.carts(stream, delay))
 
-    stream = jobs.stream_table(m.spark, m.sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    return jobs.run_batches(stream, "answers", answer)
+
+@query("stream_recommend")
+def _(m):
+    return recommend_stream(m, jobs.stream_table(m.spark, m.sf_dir, "lineitem").select("l_orderkey", "l_partkey"))

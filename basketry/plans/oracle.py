@@ -606,14 +606,14 @@ FINAL |= {
         {r('list_sum(list_transform(range(1, 65), lambda i: abs(cart_vector[i] - vector[i])))')} AS abs_sum
         FROM o_cart_vector c JOIN o_unit u ON u.item_id = c.item_id""",
     "recommend_cooc": f"""SELECT request_id, item_id, {r('score')} AS score, rank FROM (
-        SELECT c.request_id, dst AS item_id, sum(prob) AS score,
-          row_number() OVER (PARTITION BY c.request_id ORDER BY sum(prob) DESC, dst) AS rank
+        SELECT c.request_id, dst AS item_id, sum(CAST(floor(prob * 1e12 + 0.5) AS BIGINT)) / 1e12::DOUBLE AS score,
+          row_number() OVER (PARTITION BY c.request_id ORDER BY sum(CAST(floor(prob * 1e12 + 0.5) AS BIGINT)) / 1e12::DOUBLE DESC, dst) AS rank
         FROM (SELECT DISTINCT session_id AS request_id, item_name FROM o_adds) c JOIN o_dense_edges ON src = item_name
         WHERE NOT EXISTS (SELECT 1 FROM o_adds a WHERE a.session_id = c.request_id AND a.item_name = dst)
         GROUP BY c.request_id, dst) WHERE rank <= 8""",
     "recommend_topk": f"""SELECT request_id, x.item_id, {r('score')} AS score, rank, item_name, price, item_category AS category FROM (
-        SELECT c.session_id AS request_id, dst AS item_id, sum(prob) AS score,
-          row_number() OVER (PARTITION BY c.session_id ORDER BY sum(prob) DESC, dst) AS rank
+        SELECT c.session_id AS request_id, dst AS item_id, sum(CAST(floor(prob * 1e12 + 0.5) AS BIGINT)) / 1e12::DOUBLE AS score,
+          row_number() OVER (PARTITION BY c.session_id ORDER BY sum(CAST(floor(prob * 1e12 + 0.5) AS BIGINT)) / 1e12::DOUBLE DESC, dst) AS rank
         FROM b_adds c JOIN o_part_edges ON src = item_id
         WHERE NOT EXISTS (SELECT 1 FROM b_adds a WHERE a.session_id = c.session_id AND a.item_id = dst)
         GROUP BY c.session_id, dst) x LEFT JOIN b_items i ON i.item_id = x.item_id WHERE rank <= 8""",

@@ -15,6 +15,7 @@ from basketry.session import scratch_path
 from basketry.sources.bindings import CartModel
 
 LATENESS = "10 minutes"
+END_OF_INPUT = "9000-01-01 00:00:00"  # later than any row
 
 
 def stream_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,6 +61,45 @@ def run_batches(stream: DataFrame, name: str, transform: Callable[[DataFrame], D
     return spark.read.parquet(out).drop("batch")
 
 
+def run_closed(stream: DataFrame, name: str, transform: Callable[[DataFrame], DataFrame],
+               close: Callable[[DataFrame], DataFrame], ts: str = "ts") -> DataFrame:
+    """Gather ``stream`` in keyed state by ``close`` and answer what its windows close, until the input ends.
+
+    ``close`` is an aggregate under a watermark on ``ts``. An end mark, a row with nothing but a far time, follows the
+    last input as a second source of the same query: it moves the watermark past every window that is still open. A
+    restarted query goes on from its checkpoint, so each key is answered once however its rows are cut into batches.
+    """
+    spark = stream.sparkSession
+    out = scratch_path(spark, name)
+    none = spark.createDataFrame([], stream.schema)
+    none.write.parquet(f"{out}-marks")
+    marks = spark.readStream.schema(stream.schema).parquet(f"{out}-marks")
+    closed = close(stream.unionByName(marks))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        transform(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    def run() -> None:
+        query = closed.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", f"{out}-log")
+        query.trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    end = [F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields if f.name != ts]
+    spark.range(1).select(*end, F.lit(END_OF_INPUT).cast("timestamp").alias(ts)).write.mode("append").parquet(f"{out}-marks")
+    run()
+    return spark.read.parquet(out).drop("batch")
+
+
+def carts(lines: DataFrame, delay: str, gap: str = "30 minutes") -> DataFrame:
+    """Carts (request_id, items) of streamed lines (request_id, item_id, ts), closed ``gap`` after their last line.
+
+    ``delay`` is how far behind the newest line a line may arrive. The state holds one set per open cart. No filter on
+    request_id here: it would be pushed below the watermark, which must see the end mark.
+    """
+    timed = lines.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "request_id")
+    return timed.agg(F.collect_set("item_id").alias("items")).select("request_id", "items")
+
+
 def enrich(lines: DataFrame, m: CartModel) -> DataFrame:
     """Adds with category, price, session attributes and meal; batch and stream alike."""
     items = m["b_items"].select("item_id", "item_category", "price", "restaurant_id")
