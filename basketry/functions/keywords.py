@@ -2,95 +2,90 @@
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, fields, replace
+import csv
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from basketry import vocab
 from basketry.functions.cleaning import strip
 
-MAX_LEXICON_WORDS = 20000
-
-
-@dataclass(frozen=True)
-class Lexicon:
-    """Words per class. The defaults are head words; pass a fuller table for a real catalogue."""
-
-    # ---- Fixed values --------------------------------------------------------------------
-    beverage: tuple = (
-        "coke", "cola", "pepsi", "sprite", "soda", "soft drink", "juice", "shake", "milkshake", "smoothie",
-        "coffee", "espresso", "cappuccino", "latte", "mocha", "tea", "chai", "lassi", "buttermilk", "chaas",
-        "hot chocolate", "mojito", "mocktail", "lemonade", "cooler", "sherbet", "water", "energy drink",
-    )
-    dessert: tuple = (
-        "gulab jamun", "rasgulla", "rasmalai", "jalebi", "kheer", "payasam", "halwa", "ladoo", "barfi", "kulfi",
-        "falooda", "ice cream", "gelato", "sundae", "brownie", "cake", "pastry", "cheesecake", "mousse", "pudding",
-        "pie", "tart", "waffle", "pancake", "donut", "cookie", "muffin", "dessert", "sweet", "chocolate", "vanilla",
-    )
-    side: tuple = (
-        "fries", "wedges", "chips", "nachos", "salad", "raita", "soup", "garlic bread", "papad", "pickle", "chutney",
-        "dip", "hummus", "sauce", "starter", "pakora", "onion rings", "mushroom", "corn", "spring roll", "veg roll",
-        "cutlet", "tikka", "kebab", "paneer tikka", "jeera rice", "plain rice", "naan", "garlic naan", "roti",
-        "paratha", "puri", "extra",
+KEYWORDS = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "data", "keywords.csv")
+BROADCAST_ROWS = 1 << 18  # keywords sent to every task at most
+CLASSES = ("beverage", "dessert", "side", "main", "non_veg", "veg")
+WORD_CHARS = r"\p{L}\p{N}_"  # letters of any script count as part of a word
+#: What a keyword may end with beside itself, by its last letters: "dosa" also finds "dosas", "sandwich" "sandwiches".
+PLURALS = (("(?:s|x|z|ch|sh)$", "es"), ("[^sxzy]$", "s"))
+
+
+def default_words() -> list[tuple[str, str]]:
+    """The shipped (class, keyword) rows, singular forms."""
+    with open(KEYWORDS, newline="", encoding="utf-8") as file:
+        return [(row["class"], row["keyword"]) for row in csv.DictReader(file)]
+
+
+def keyword_table(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """(class, keyword) rows of a CSV file of any length, or the shipped ones."""
+    if path is not None:
+        return spark.read.schema("class string, keyword string").option("header", True).csv(path)
+    return spark.createDataFrame(default_words(), "class string, keyword string")
+
+
+def with_plurals(table: DataFrame) -> DataFrame:
+    """Keywords in lower case with the plural of their last word, each form once a class; forms that do not begin and end with a word are dropped."""
+    word = F.lower(F.trim("keyword"))
+    plural = F.lit(None).cast("string")
+    for ending, added in reversed(PLURALS):
+        plural = F.when(word.rlike(ending), F.concat(word, F.lit(added))).otherwise(plural)
+    forms = table.select("class", F.explode(F.array(word, plural)).alias("keyword"))
+    whole = F.col("keyword").rlike(r"^[\p{L}\p{N}_](?s:.*[\p{L}\p{N}_])?$")
+    return forms.filter(whole).distinct()
+
+
+def word_runs(text: str, longest: int) -> Column:
+    """For every word of a text in order: the text from it to the end of the ``longest`` th word on, or of the last one."""
+    word, gap = f"[{WORD_CHARS}]++", f"[^{WORD_CHARS}]++"
+    return F.regexp_extract_all(text, F.lit(rf"(?<![{WORD_CHARS}])(?=({word}(?:{gap}{word}){{0,{longest - 1}}}))"), F.lit(1))
+
+
+def keyword_matches(texts: DataFrame, table: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """Keywords of each class that occur in a text as whole words, one row per row of ``texts``: key and one sorted array a class.
+
+    ``key`` tells the rows apart. Words meet the first words of the table in an equi-join, whatever the number of keywords;
+    the few that meet compare the words that follow. Of overlapping matches of a class the leftmost counts, of those that begin together the longest,
+    so "garlic naan" is no "naan". A null text holds nothing.
+    """
+    forms = with_plurals(table)
+    words = F.regexp_extract_all("keyword", F.lit(f"([{WORD_CHARS}]+)"), F.lit(1))
+    forms = forms.select("class", "keyword", F.get(words, F.lit(0)).alias("first"), F.size(words).alias("words"))
+    size = forms.agg(F.count("*").alias("rows"), F.max("words").alias("longest")).first()
+    # words stay where they are while the table is small; a larger one meets them by a shuffle
+    forms = F.broadcast(forms) if size.rows <= BROADCAST_ROWS else forms
+    low = texts.select(*key, F.lower(F.col(text)).alias("_text"))
+    runs = F.transform(word_runs("_text", size.longest or 1), lambda x: F.struct(F.regexp_extract(x, f"^[{WORD_CHARS}]+", 0).alias("first"), x.alias("run")))
+    each = low.select(*key, F.posexplode(runs).alias("pos", "_run")).select(*key, "pos", "_run.*")
+    after = F.substring("run", F.length("keyword") + 1, F.lit(1))
+    found = each.join(forms, "first").filter(F.startswith("run", "keyword") & ~after.rlike(f"[{WORD_CHARS}]"))
+    # one pass in order of (class, pos, longest first): a match stays unless an earlier one of its class reaches over it
+    match = F.struct("class", "pos", (-F.col("words")).alias("order"), "keyword")
+    kept = F.aggregate(
+        F.sort_array(F.collect_list(match)),
+        F.struct(F.lit("").alias("class"), F.lit(0).alias("free"), F.array().cast("array<struct<class:string,keyword:string>>").alias("kept")),
+        lambda done, x: F.when((done["class"] == x["class"]) & (x["pos"] < done["free"]), done).otherwise(F.struct(
+            x["class"].alias("class"), (x["pos"] - x["order"]).alias("free"),
+            F.when(F.array_contains(done["kept"], F.struct(x["class"].alias("class"), x["keyword"].alias("keyword"))), done["kept"])
+            .otherwise(F.array_append(done["kept"], F.struct(x["class"].alias("class"), x["keyword"].alias("keyword")))).alias("kept"))),
+        lambda done: done["kept"],
     )
-    main: tuple = (
-        "biryani", "chicken biryani", "pulao", "khichdi", "fried rice", "curry", "masala", "korma", "dal", "paneer",
-        "chole", "rajma", "aloo", "chicken", "butter chicken", "mutton", "fish", "prawn", "egg", "noodles",
-        "manchurian", "pizza", "pasta", "burger", "sandwich", "wrap", "momos", "dosa", "masala dosa", "idli", "vada",
-        "thali", "combo", "platter", "meal", "plate",
-    )
-    non_veg: tuple = (
-        "chicken", "mutton", "lamb", "beef", "pork", "bacon", "ham", "meat", "keema", "fish", "prawn", "crab",
-        "egg", "omelette", "tikka", "tandoori", "kebab", "seekh", "salmon", "tuna", "pepperoni", "sausage",
-    )
-    veg: tuple = (
-        "veg", "vegetarian", "paneer", "tofu", "soya", "aloo", "potato", "gobi", "palak", "mushroom", "corn", "peas",
-        "dal", "chana", "chole", "rajma", "cheese", "butter", "cream", "curd", "dahi", "lassi", "fruit", "mango",
-        "apple",
-    )
-    # ---- End of fixed values -------------------------------------------------------------
-
-    @property
-    def classes(self) -> list[str]:
-        return [f.name for f in fields(self)]
+    hits = found.groupBy(*key).agg(kept.alias("_kept"))
+    none = F.array().cast("array<string>")
+    joined = texts.select(*key).join(hits, key, "left")
 
-    def alternation(self, name: str) -> str:
-        """Words longest first, so "garlic naan" wins over "naan"."""
-        words = sorted(set(getattr(self, name)), key=lambda w: (-len(w), w))
-        return "(" + "|".join(re.sub(r"([.^$*+?()\[\]{}|\\])", r"\\\1", w) for w in words) + ")"
+    def of_class(name: str) -> Column:
+        own = F.transform(F.filter("_kept", lambda x: x["class"] == name), lambda x: x["keyword"])
+        return F.coalesce(F.sort_array(F.array_distinct(own)), none).alias(name)
 
-    def pattern(self, name: str) -> str:
-        """Whole words only; letters of any script count as part of a word."""
-        return r"(?<![\p{L}\p{N}_])" + self.alternation(name) + r"(?![\p{L}\p{N}_])"
-
-    @classmethod
-    def from_table(cls, table: DataFrame) -> "Lexicon":
-        """Lexicon from a (class, keyword) table; a vocabulary, so its size is checked first."""
-        rows = table.select("class", "keyword").limit(MAX_LEXICON_WORDS + 1).collect()
-        if len(rows) > MAX_LEXICON_WORDS:
-            raise ValueError(f"lexicon has more than {MAX_LEXICON_WORDS} words")
-        words: dict[str, list[str]] = {}
-        for row in rows:
-            words.setdefault(row["class"], []).append(row["keyword"].lower())
-        return replace(cls(), **{name: tuple(values) for name, values in words.items()})
-
-    @classmethod
-    def from_csv(cls, spark: SparkSession, path: str) -> "Lexicon":
-        return cls.from_table(spark.read.schema("class string, keyword string").option("header", True).csv(path))
-
-
-DEFAULT_LEXICON = Lexicon()
-
-
-def keyword_matches(text: Column, pattern: str) -> Column:
-    """Distinct keywords found in the whole text."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1)))
-
-
-def match_counts(text: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> dict[str, Column]:
-    """Number of distinct hits per class."""
-    return {f"n_{name}": F.size(keyword_matches(text, lexicon.pattern(name))) for name in lexicon.classes}
+    return joined.select(*key, *[of_class(name) for name in CLASSES])
 
 
 def cuisine_fallback(cuisine: Column) -> Column:
@@ -106,14 +101,19 @@ def cuisine_fallback(cuisine: Column) -> Column:
     return F.coalesce(exact, partial)
 
 
-def with_categories(
-    df: DataFrame, name: str = "item_name", cuisine: str = "cuisine", lexicon: Lexicon = DEFAULT_LEXICON
-) -> DataFrame:
-    """Add category, veg flag, their confidences and the path that decided."""
-    counted = df.withColumns({**match_counts(F.coalesce(F.col(name), F.lit("")), lexicon)})
+def with_categories(df: DataFrame, name: str = "item_name", cuisine: str = "cuisine", table: DataFrame | None = None) -> DataFrame:
+    """Add category, veg flag, their confidences and the path that decided.
+
+    Each distinct name is matched once; ``table`` holds (class, keyword), by default the shipped words.
+    """
+    words = keyword_table(df.sparkSession) if table is None else table
+    names = df.select(F.coalesce(F.col(name), F.lit("")).alias("_name")).distinct()
+    hits = keyword_matches(names, words, ["_name"], "_name")
+    counts = hits.select("_name", *[F.size(c).alias(f"n_{c}") for c in CLASSES])
+    counted = df.withColumn("_name", F.coalesce(F.col(name), F.lit(""))).join(counts, "_name")
     counted = counted.withColumn("_by_cuisine", cuisine_fallback(F.col(cuisine)))
-    n = {c: F.col(f"n_{c}") for c in lexicon.classes}
-    empty = F.coalesce(F.col(name), F.lit("")) == ""
+    n = {c: F.col(f"n_{c}") for c in CLASSES}
+    empty = F.col("_name") == ""
     main_wins = (n["side"] > 0) & (n["main"] > n["side"])
 
     category = (
@@ -157,4 +157,4 @@ def with_categories(
         "category_confidence": confidence,
         "veg_confidence": veg_confidence,
         "decision_source": source,
-    }).drop("_by_cuisine", *[f"n_{c}" for c in lexicon.classes])
+    }).drop("_name", "_by_cuisine", *[f"n_{c}" for c in CLASSES])

@@ -147,11 +147,9 @@ def _(m):
 
 @query("keyword_matches")
 def _(m):
-    lexicon = keywords.DEFAULT_LEXICON
-    hits = {x: F.sort_array(keywords.keyword_matches(F.col("text"), lexicon.pattern(x))) for x in lexicon.classes}
     names = m["b_dishes"].select(F.lit("dish").alias("kind"), F.col("item_id").alias("id"), F.col("item_name").alias("text"))
     texts = m["documents"].select(F.lit("text").alias("kind"), F.col("doc_id").alias("id"), "text")
-    return names.unionByName(texts).select("kind", "id", *[v.alias(k) for k, v in hits.items()])
+    return keywords.keyword_matches(names.unionByName(texts), keywords.keyword_table(m.spark), ["kind", "id"])
 
 
 @query("categorize_items")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from basketry.functions import context
+from basketry.functions import context, keywords
 from basketry.operators import catalogue, cooccurrence as co, evaluate as ev, features as ft, menu, policy, reports
 from basketry.operators.recommend import recommend_cooc
 from basketry.plans.cart_queries import dense_edges, events, steps, typed_adds
@@ -166,7 +166,7 @@ def _(m):
 @query("recommended_actions")
 def _(m):
     merchants = catalogue.restaurants(restaurant_rows(m))
-    items = catalogue.filter_priced(rows(m)).withColumn("item_category", F.lit("unknown"))
+    items = keywords.with_categories(catalogue.filter_priced(rows(m)))
     return reports.recommended_actions(merchants, catalogue.keep_best(
         items.select("item_id", "restaurant_id", "price", "item_category"), "item_id", ["price"]))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 
 from basketry import vocab
-from basketry.functions.keywords import DEFAULT_LEXICON as LEX
+from basketry.functions.keywords import CLASSES, default_words
 from basketry.sources.bindings import VIEWS
 
 BLOCKS: dict[str, str] = {
@@ -152,10 +152,17 @@ BLOCKS["o_menu"] = """
     QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY item_votes DESC, best_seller DESC) = 1"""
 
 
+def word_forms(name: str) -> list[str]:
+    """Keywords of a class and their plurals, longest first, so that "garlic naan" wins over "naan"."""
+    own = [word for kind, word in default_words() if kind == name]
+    plural = [w + ("es" if re.search("(s|x|z|ch|sh)$", w) else "s") for w in own if not w.endswith("y")]
+    return sorted({*own, *plural}, key=lambda w: (-len(w), w))
+
+
 def hits(x: str, name: str) -> str:
     """Letters outside ASCII become "_", a word character for this engine's word boundary."""
     plain = f"regexp_replace(lower({x}), '[^\\x00-\\x7F\\PL]', '_', 'g')"
-    words = LEX.alternation(name).replace("'", "''")
+    words = "(" + "|".join(word_forms(name)) + ")"
     return f"list_distinct(regexp_extract_all({plain}, '\\b{words}\\b', 1))"
 
 
@@ -169,7 +176,7 @@ BLOCKS["o_cuisine_map"] = f"""
     FROM (SELECT cuisine, trim(lower(cuisine)) AS c FROM o_cuisine_names)"""
 BLOCKS["o_dish_hits"] = f"""
     SELECT d.item_id, d.restaurant_id, d.item_name, f.category AS by_cuisine,
-           {', '.join(f"len({hits('d.item_name', c)}) AS {c}" for c in LEX.classes)}
+           {', '.join(f"len({hits('d.item_name', c)}) AS {c}" for c in CLASSES)}
     FROM b_dishes d LEFT JOIN b_merchants m ON m.restaurant_id = d.restaurant_id
     LEFT JOIN o_cuisine_map f ON f.cuisine = m.cuisine"""
 BLOCKS["o_dishes"] = """
@@ -448,7 +455,7 @@ FINAL |= {
         CAST({USER_IDX} AS DOUBLE) AS user_type_idx, {', '.join(f"CAST(item_category = '{c}' AS DOUBLE) AS is_{c}" for c in
         ('main', 'dessert', 'beverage', 'side'))}, count(*) AS n FROM o_steps GROUP BY ALL""",
     "keyword_matches": "SELECT kind, id, " + ", ".join(
-        f"{text_list('list_sort(' + hits('text', c) + ')')} AS {c}" for c in LEX.classes
+        f"{text_list('list_sort(' + hits('text', c) + ')')} AS {c}" for c in CLASSES
     ) + """ FROM (SELECT 'dish' AS kind, item_id AS id, item_name AS text FROM b_dishes
         UNION ALL SELECT 'text', doc_id, text FROM documents)""",
     "categorize_items": "SELECT item_id, item_category, decision_source FROM o_dishes",
@@ -817,7 +824,6 @@ FINAL["recommended_actions"] = f"""SELECT * FROM (
       SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM o_loose_menu))
     UNION ALL SELECT 'many_restaurants_without_votes', CASE WHEN avg(CAST(delivery_votes = 0 AS INT)) > 0.5
       THEN count(*) FILTER (WHERE delivery_votes = 0) ELSE 0 END FROM o_restaurants
-    UNION ALL SELECT 'improve_unknown_categories', count(*) FROM o_loose_menu
     UNION ALL SELECT 'fix_orphan_items', count(DISTINCT restaurant_id) FROM o_loose_menu
       WHERE restaurant_id NOT IN (SELECT restaurant_id FROM o_restaurants)
     UNION ALL SELECT 'drop_restaurants_without_menu', count(*) FROM o_restaurants

@@ -42,11 +42,31 @@ def test_categories(spark):
     assert [r["category_confidence"] for r in got][4:7] == [0.5, 0.4, 0.3]
 
 
-def test_lexicon_from_table(spark):
+def test_keywords_from_a_table(spark):
     table = spark.createDataFrame([("beverage", "Kombucha")], "class string, keyword string")
-    lexicon = keywords.Lexicon.from_table(table)
     df = spark.createDataFrame([("kombucha", None)], "item_name string, cuisine string")
-    assert keywords.with_categories(df, lexicon=lexicon).first()["item_category"] == "beverage"
+    assert keywords.with_categories(df, table=table).first()["item_category"] == "beverage"
+
+
+def test_keyword_matching_is_whole_word_leftmost_and_longest(spark):
+    table = spark.createDataFrame(
+        [("side", "Garlic Naan"), ("side", "naan"), ("side", "garlic"), ("main", "naan curry rice"), ("main", "curry"), ("main", "curry rice plate"),
+         ("main", "7-up"), ("veg", "sandwich"), ("veg", "a"), ("veg", ".x")], "class string, keyword string")
+    rows = [(1, "Garlic naan, naan & NAANS"), (2, "garlic  naan"), (3, "naan curry rice plate"), (4, "un7-up 7-up é7-up"), (5, "Sandwiches a_b a"),
+            (6, None), (7, ""), (8, "!!"), (9, "garlic naan" * 3), (1_000, " ".join(["garlic naan curry"] * 20_000))]
+    got = keywords.keyword_matches(spark.createDataFrame(rows, "id long, text string"), table, ["id"]).collect()
+    found = {r.id: {c: r[c] for c in keywords.CLASSES if r[c]} for r in got}
+    assert found == {
+        1: {"side": ["garlic naan", "naan", "naans"]}, 2: {"side": ["garlic", "naan"]}, 3: {"side": ["naan"], "main": ["naan curry rice"]},
+        4: {"main": ["7-up"]}, 5: {"veg": ["a", "sandwiches"]}, 6: {}, 7: {}, 8: {}, 9: {"side": ["garlic", "naan"]},
+        1_000: {"side": ["garlic naan"], "main": ["curry"]}}
+
+
+def test_a_table_of_many_keywords(spark):
+    """No bound on the number of words: they are the rows of a join."""
+    table = spark.range(50_000).select(F.lit("main").alias("class"), F.concat(F.lit("dish"), "id").alias("keyword"))
+    df = spark.createDataFrame([(1, "dish7 and dish49999s and dish50000")], "id long, text string")
+    assert keywords.keyword_matches(df, table, ["id"]).first()["main"] == ["dish49999s", "dish7"]
 
 
 def test_smoothed_rating(spark):
