@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -158,6 +159,8 @@ class WordEncoder:
             spec = json.load(file)
         self.merges = Merges(spec["model"]["vocab"], spec["model"]["merges"])
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.marks = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
         self.token = self.merges.text | {i: t for t, i in self.special.items()}
         library = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
@@ -169,10 +172,14 @@ class WordEncoder:
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text; special tokens stand as they are, other words with a leading blank if not Latin-1."""
-        at = [(text.find(s), -len(s), s) for s in self.special if s in text]
-        if at:
-            start, _, mark = min(at)
-            return self.pieces(text[:start]) + [mark] + self.pieces(text[start + len(mark):])
+        if self.marks is None:
+            return self.words(text)
+        out = []
+        for k, part in enumerate(self.marks.split(text)):  # every second part is a mark
+            out += [part] if k % 2 else self.words(part)
+        return out
+
+    def words(self, text: str) -> list[str]:
         if is_latin(text):
             return WORD_PIECES.findall(text.lower())
         return [" " + x for x, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text))]

@@ -123,14 +123,16 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, settings: Settings) -> Mod
 
 def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [features(x) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["trusted", "features"])
+        rows = [features(x) for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))],
+                                         names=["doc_id", "trusted", "features"])
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | None:
     """Fit on bounded samples by the hash of the id; None without a positive and an unlabelled document.
 
-    Only rows outside the held-out fold (and with an id) take part. Labels other than 1 are not read as such.
+    Only rows outside the held-out fold (and with an id) take part. Labels other than 1 are not read as such. The samples
+    are of ids; of rows with one id that with the least features counts.
     """
     reach_workers(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & ~held_out(0))
@@ -141,11 +143,13 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         return rows.orderBy(position, "doc_id").limit(bound).withColumn("trusted", F.lit(flag))
 
     chosen = sample(ids.distinct().join(trusted, "doc_id"), settings.positives, True).unionByName(
-        sample(ids, settings.unlabelled, False))
+        sample(ids.distinct(), settings.unlabelled, False))
     chosen = store(chosen, "quality-sample")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text().alias("text")).join(
         F.broadcast(chosen), "doc_id")  # at most positives + unlabelled rows
-    rows = texts.select("trusted", "text").mapInArrow(feature_batches, "trusted boolean, features array<double>").toArrow()
+    rows = texts.select("doc_id", "trusted", "text").mapInArrow(feature_batches, "doc_id long, trusted boolean, features array<double>")
+    # of rows that share an id one is learned from, so the driver gets no more rows than the sample has ids
+    rows = rows.groupBy("doc_id", "trusted").agg(F.min("features").alias("features")).toArrow().sort_by([("trusted", "ascending"), ("doc_id", "ascending")])
     flags = rows.column("trusted").to_numpy().astype(bool)
     values = np.array(rows.column("features").to_pylist(), dtype=float).reshape(-1, WIDTH)
     if not flags.any() or flags.all():

@@ -126,7 +126,10 @@ def fit_weights(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, s
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Fit on rows with a label of 0 or 1 whose id is not held out; without both classes the model is flat."""
+    """Fit on rows with a label of 0 or 1 whose id is not held out; without both classes the model is flat.
+
+    An id labelled 0 and 1 counts in both classes. Of rows with one id all give counts, one gives weights.
+    """
     reach_workers(docs.sparkSession)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(0))
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
@@ -157,9 +160,12 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [x.astype(np.int32) for _, x in present(batch.column(0).to_pylist(), slots, settings.low, settings.high)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(held, pa.list_(pa.int32()))], names=["toxic", "held"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(held, pa.list_(pa.int32()))],
+                                             names=["doc_id", "toxic", "held"])
 
-    sample = texts.select("text", "toxic").mapInArrow(hold, "toxic int, held array<int>").toArrow()
+    sample = texts.select("text", "toxic", "doc_id").mapInArrow(hold, "doc_id long, toxic int, held array<int>")
+    # of rows that share an id one is learned from, so the driver gets no more rows than the samples have ids
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min("held").alias("held")).toArrow().sort_by([("toxic", "ascending"), ("doc_id", "ascending")])
     rows = [np.asarray(x.values) for x in sample.column("held").combine_chunks()]
     weights, intercept = fit_weights(rows, sample.column("toxic").to_numpy().astype(float), ratios, settings)
     return Model(slots, weights * ratios, intercept)

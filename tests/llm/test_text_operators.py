@@ -10,7 +10,9 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from basketry.llm import bpe, decontaminate, language_model, outliers, quality, token_store, toxicity, warc
@@ -286,3 +288,25 @@ def test_leaks_by_brute_force(spark, odd, no_rows):
     left = decontaminate.drop_leaks(docs, benchmark)
     assert left.columns == docs.columns and left.count() == docs.count() - len({d for d, _ in got})
     assert decontaminate.find_leaks(docs, benchmark.limit(0)).count() == 0 and decontaminate.find_leaks(no_rows, benchmark).count() == 0
+
+
+def test_bpe_of_many_special_tokens():
+    """A hundred thousand marks in one text, against the library."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder = bpe.WordEncoder(path)
+    text = "Word<|endoftext|>[SEP] " * 50_000 + "end"
+    ids, shown = coder.encode([text])
+    library = Tokenizer.from_file(path)
+    want = library.encode(text, add_special_tokens=False).ids
+    assert ids[0] == " ".join(map(str, want)) and shown[0] == library.decode(want, skip_special_tokens=False)
+
+
+def test_repeated_ids_do_not_multiply(spark, corpus):
+    """Thousands of rows of one id add one row to what the driver learns from."""
+    docs, labels = corpus
+    copies = docs.where("doc_id in (1, 2, 4)").withColumn("text", F.explode(F.transform(
+        F.sequence(F.lit(1), F.lit(3_000)), lambda k: F.concat("text", F.lit(" "), k.cast("string")))))
+    many = docs.unionByName(copies)
+    assert quality.classify(many, labels).count() == toxicity.classify(many, labels).count() == many.count()
+    model = quality.train(many, labels)
+    assert model is not None
