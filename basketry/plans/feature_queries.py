@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from basketry import vocab
 from basketry.functions import context, vectors as v
 from basketry.operators import (
-    cooccurrence as co, embeddings as emb, features as ft, menu, ordering, ranker, recommend, sampling,
+    cooccurrence as co, embeddings as emb, features as ft, menu, model_store, ordering, ranker, recommend, sampling,
     sequences as seq, walks,
 )
 from basketry.plans.cart_queries import dense_edges, edges, events, steps, typed_adds
@@ -217,10 +217,21 @@ def _(m):
     return ranker.train_eval(scored, ["split"])
 
 
+@query("train_ranker_validated")
+def _(m):
+    """Boosted trees that stop by the validation part."""
+    rows = split_inputs(m)
+    model = model_store.train_validated(rows, trees=20)
+    return ranker.train_eval(ranker.score_candidates(model, rows), ["split"])
+
+
 @query("score_candidates")
 def _(m):
+    """Scores of a stored version; the fitted model itself is not used any more."""
     rows = split_inputs(m)
-    model = ranker.train_ranker(rows.filter(F.col("split") == "train"))
+    version = scratch_path(m.spark, "ranker")
+    model_store.save_version(ranker.train_ranker(rows.filter(F.col("split") == "train")), scalers(m), version, "logistic")
+    model, _ = model_store.load_version(m.spark, version)
     return ranker.score_candidates(model, rows.filter(F.col("split") == "validation"))
 
 
