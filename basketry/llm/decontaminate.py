@@ -21,6 +21,7 @@ EDIT_RATE = 0.1
 BLOCK_CHARS = 4 << 20  # passages of one pass, in characters
 SLICE = 1 << 21  # characters of documents handled at once
 FILTER_BITS = 22
+POSTINGS = 1 << 21  # shared q-grams expanded at once
 MATCHES = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()),
                      ("edits", pa.int64()), ("similarity", pa.float64())])
 MATCHES_DDL = "doc_id long, item_id long, begin long, end long, edits long, similarity double"
@@ -104,33 +105,72 @@ def align(passage: np.ndarray, text: np.ndarray, low: int, high: int, budget: in
     return edits, max(0, begin), min(len(text), low + best + len(passage))
 
 
-def candidate_bands(found: Passages, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(item, band) of all bands that share enough q-grams; band b holds diagonals b * s to (b + 2) * s - 1, s = 2e + 1."""
+def posting_chunks(found: Passages, at: np.ndarray, slot: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(posting, text position, first position not yet covered) for runs of hits of about ``size`` postings."""
+    counts = found.starts[slot + 1] - found.starts[slot]
+    ends = np.cumsum(counts)
+    first = 0
+    while first < len(at):
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + size, side="right")))
+        own = counts[first:last]
+        inner = np.cumsum(own)
+        posting = np.arange(inner[-1]) - np.repeat(inner - own - found.starts[slot[first:last]], own)
+        yield posting, np.repeat(at[first:last], own), int(at[last]) if last < len(at) else np.iinfo(np.int64).max
+        first = last
+
+
+def candidate_bands(found: Passages, chars: np.ndarray, chunk: int = POSTINGS) -> tuple[np.ndarray, np.ndarray]:
+    """(item, band) of all bands that share enough q-grams; band b holds diagonals b * s to (b + 2) * s - 1, s = 2e + 1.
+
+    Shared q-grams are expanded ``chunk`` at a time; a band is counted when no later text position can reach it, so
+    memory does not grow with the repetitions in a text.
+    """
     hashed = grams(chars, found.q)
     at = np.flatnonzero(found.maybe[hashed >> np.uint64(64 - FILTER_BITS)])
     slot = np.minimum(np.searchsorted(found.hashes, hashed[at]), len(found.hashes) - 1)
     real = found.hashes[slot] == hashed[at]
     at, slot = at[real], slot[real]
-    counts = found.starts[slot + 1] - found.starts[slot]
-    ends = np.cumsum(counts)
-    posting = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts - found.starts[slot], counts)
-    item, diagonal = found.items[posting], np.repeat(at, counts) - found.places[posting]
-    band = diagonal // (2 * found.budgets[item] + 1)
-    item, band = np.concatenate([item, item]), np.concatenate([band, band - 1])
-    # crude counts by a hash of (item, band) leave few rows for the exact count
-    mixed = (item * 0x9E3779B1 + band * 0x85EBCA77) & ((1 << 21) - 1)
-    enough = np.bincount(mixed, minlength=1 << 21)[mixed] >= found.bounds[item]
-    # a passage place counts once in a band, however often a repetitive text holds its q-gram
-    place = np.concatenate([found.places[posting]] * 2)[enough]
-    rows = np.unique(np.stack([item[enough], band[enough], place]), axis=1)
-    if not rows.shape[1]:
-        return rows[0], rows[1]
-    new = np.append(True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1]))
-    first = np.flatnonzero(new)
-    times = np.diff(np.append(first, rows.shape[1]))
-    item, band = rows[0, first], rows[1, first]
-    keep = times >= found.bounds[item]
-    return item[keep], band[keep]
+    steps, sizes = 2 * found.budgets + 1, np.array([len(t) for t in found.texts], dtype=np.int64)
+    origins = np.cumsum(sizes) - sizes  # a passage place as one number among those of all passages
+    total, shift = int(sizes.sum()), int(sizes.max(initial=0)) + 2  # bands + shift are positive
+
+    def expand() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+        for posting, position, rest in posting_chunks(found, at, slot, chunk):
+            item = found.items[posting]
+            band = (position - found.places[posting]) // steps[item]
+            mixed = (item * 0x9E3779B1 + band * 0x85EBCA77) & ((1 << 21) - 1)
+            # the second band of a diagonal is the one before
+            before = (item * 0x9E3779B1 + (band - 1) * 0x85EBCA77) & ((1 << 21) - 1)
+            yield (np.concatenate([item, item]), np.concatenate([band, band - 1]), np.concatenate([mixed, before]),
+                   np.concatenate([found.places[posting]] * 2), rest)
+
+    postings = int((found.starts[slot + 1] - found.starts[slot]).sum())
+    chunks = list(expand()) if postings <= chunk else None  # one chunk is kept, more are expanded again
+    crude = np.zeros(1 << 21, dtype=np.int64)
+    for _, _, mixed, _, _ in chunks or expand():
+        crude += np.bincount(mixed, minlength=1 << 21)
+    out_items, out_bands = [], []
+    held = np.array([], dtype=np.int64)
+    for item, band, mixed, place, rest in chunks or expand():
+        # crude counts by a hash of (item, band) leave few rows for the exact count
+        enough = crude[mixed] >= found.bounds[item]
+        # a passage place counts once in a band, however often a repetitive text holds its q-gram
+        fresh = (band[enough] + shift) * total + origins[item[enough]] + place[enough]
+        held = np.union1d(held, fresh)
+        band, spot = held // total - shift, held % total
+        item = np.searchsorted(origins, spot, side="right") - 1
+        closed = (band + 2) * steps[item] - 1 + sizes[item] < rest
+        item, band, held = item[closed], band[closed], held[~closed]
+        first = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (band[1:] != band[:-1]))) if len(item) else item
+        times = np.diff(np.append(first, len(item)))
+        keep = times >= found.bounds[item[first]]
+        out_items.append(item[first][keep])
+        out_bands.append(band[first][keep])
+    none = np.array([], dtype=np.int64)
+    item, band = np.concatenate([none, *out_items]), np.concatenate([none, *out_bands])
+    order = np.lexsort((band, item))
+    return item[order], band[order]
 
 
 def occurrences(found: Passages, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:

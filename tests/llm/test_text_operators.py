@@ -310,3 +310,22 @@ def test_repeated_ids_do_not_multiply(spark, corpus):
     assert quality.classify(many, labels).count() == toxicity.classify(many, labels).count() == many.count()
     model = quality.train(many, labels)
     assert model is not None
+
+
+def test_repetitive_passages_meet_repetitive_texts_in_chunks():
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 4))) for _ in range(50)]
+    passages = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(4, 60)))) for i in range(30)]
+    passages += [(90, "ab " * 200), (91, "cd " * 200 + "zz"), (92, None)]
+    found = decontaminate.index_passages(passages, decontaminate.Q, decontaminate.EDIT_RATE)
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(150)) + " " + rng.choice(passages[:30])[1] for _ in range(12)]
+    texts += ["ab " * 700, "", "ab " * 300 + "cd " * 300]
+    chars = decontaminate.code_points("\n".join(decontaminate.normalise(x) for x in texts))
+    whole = decontaminate.candidate_bands(found, chars, 1 << 30)
+    assert len(whole[0]) > 12
+    for chunk in (5_000, 60_000):
+        assert all(np.array_equal(x, y) for x, y in zip(whole, decontaminate.candidate_bands(found, chars, chunk)))
+    # 7 million shared q-grams, most of them at a few places of the passage again and again
+    long = ("ab " * 36_000)[:18_000] + ("cd " * 36_000)[:18_000]
+    hits = {item: edits for _, item, _, _, edits in decontaminate.occurrences(found, [long])}
+    assert hits[30] == 0 and hits[31] == 2
