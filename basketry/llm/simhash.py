@@ -13,15 +13,14 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from basketry.llm.shared import components, raw_text, reach_workers, store
+from basketry.llm.shared import components, free_name, quoted, raw_text, reach_workers, store
 
 SEED = 42
 TILE = 2048
 WORDS, BASE = 4, 17  # four 16-bit words, each with 0 to 16 bits set
-PRINTS = pa.schema([("doc_id", pa.int64()), ("print", pa.int64())])
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -43,8 +42,10 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 def print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks = np.array([fingerprint(x.as_py()) for x in batch.column(1)], dtype="<u8").view("<i8")
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64())], schema=PRINTS)
+        *kept, texts = batch.columns
+        marks = np.array([fingerprint(x.as_py()) for x in texts], dtype="<u8").view("<i8")
+        names = [*batch.schema.names[:-1], "print"]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(marks, pa.int64())], names=names)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -54,6 +55,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         print_batches, "doc_id long, print long")
 
 
+def row_key() -> Column:
+    """Key of a row by id and text; repeated rows share it."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), raw_text())
+
+
 def signature(mark: Column) -> Column:
     """Population counts of the four words as one number below 17^4."""
     out = F.lit(0)
@@ -191,14 +197,33 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest doc_id; all columns stay.
+    """One row of each group of near-duplicates: that of the smallest doc_id; all columns stay.
 
-    Rows without an id cannot be told from their group's first document by id: they stay, equal texts among them once.
-    Of rows with the same id one stays.
+    Groups are of texts, not of ids: different texts of one id are judged apart, and of rows that are not near one
+    another none goes. Rows without an id come after all others in the choice. Rows of the same id and text count as
+    one document, whatever their other columns hold, and one of them stays. Ties of the id go to the smaller hash of
+    id and text. An empty table gives no rows.
+
+    Only keys and fingerprints are grouped; texts meet the list of rows that go or are repeated, no more.
     """
-    gone = near_duplicates(docs, radius).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = store(gone, "near-duplicates")
-    rest = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), text)).orderBy(text)
-    return rest.withColumn("_turn", F.row_number().over(same)).where("_turn = 1").drop("_turn")
+    reach_workers(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), raw_text().alias("text"))
+    prints = store(rows.mapInArrow(print_batches, "doc_id long, key long, print long"), "row-prints")
+    marks = store(prints.groupBy("key", "doc_id", "print").agg(F.count("*").alias("n")), "row-marks")
+    found = components(links(marks.select("print").distinct(), radius)).withColumnRenamed("node", "print")
+    grouped = marks.join(found, "print", "left").select("key", "doc_id", "n", F.coalesce("root", "print").alias("root"))
+    grouped = store(grouped, "row-groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = grouped.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("rows"))
+    # what stays as it is needs no partner in the join with the texts
+    judged = grouped.join(first.where("rows > 1"), "root", "left").select(
+        "key", (F.col("first.key") != F.col("key")).alias("goes"), "n")
+    judged = store(judged.where("goes or n > 1").select("key", F.coalesce("goes", F.lit(False)).alias("goes")), "near-duplicates")
+    key, goes = free_name(docs, "row_key"), free_name(docs, "row_goes")
+    keyed = docs.withColumn(key, row_key())
+    met = keyed.join(judged.select(F.col("key").alias(key), F.col("goes").alias(goes)), key, "left")
+    out = met.where(F.col(goes).isNull()).select(*quoted(docs))
+    if judged.where("not goes").isEmpty():
+        return out
+    # copies are reduced in each task before the shuffle
+    return out.unionByName(met.where(~F.col(goes)).dropDuplicates([key]).select(*quoted(docs)))

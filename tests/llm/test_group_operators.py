@@ -240,3 +240,35 @@ def test_entries_of_many_lines_keep_their_links(spark):
     docs = spark.createDataFrame([(i, x, "en", "a", len(x)) for i, x in enumerate(lines)], SCHEMA)
     gone = {r.doc_id for r in line_dedup.mark_lines(docs).collect() if r.n_removed}
     assert gone == set(range(1, 120, 2))
+
+
+def test_keep_first_judges_rows_not_ids(spark, odd, no_rows):
+    rng = random.Random(41)
+    rows = [(7, prose(rng, 80), "en", "a", 0) for _ in range(60)]  # different texts of one id
+    copied = prose(rng, 80)
+    rows += [(3, copied, "en", "a", 0), (None, copied, "en", "b", 0), (9, copied, "en", "a", 0)] + [(7, copied, "en", "a", 0)] * 3
+    lone = prose(rng, 80)
+    rows += [(None, lone, "en", "a", 0)] * 4 + [(11, prose(rng, 80), "de", "c", 0)] * 2
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs = docs.withColumns({n: F.lit(1) for n in ("_gone", "_turn", "row_key", "_row_key", "row_goes", "key", "with.dot")})
+    left = simhash.keep_first(docs)
+    assert left.columns == docs.columns
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in left.collect())
+    marks = [plain_print(t) for _, t, *_ in rows]
+    near = union_find(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a) if (marks[a] ^ marks[b]).bit_count() <= 2])
+    groups = collections.defaultdict(list)
+    for i, root in near.items():
+        groups[root].append((rows[i][0] is None, rows[i][0] or 0, rows[i][1]))
+    assert sorted(x[:2] for x in got) == sorted(min(g)[:2] for g in groups.values())
+    assert len(got) >= 62 and (False, 3, copied) in got and (True, 0, lone) in got
+    assert simhash.keep_first(no_rows).count() == 0
+    # one row for the six texts without differences in words (null, empty, blank; 5, 6 and the row without an id)
+    assert sorted(str(r.doc_id) for r in simhash.keep_first(odd).collect()) == sorted(["1", "5", "7", "8", "9"])
+
+
+def test_dropped_lines_keep_columns_of_any_name(spark):
+    line = "one line of more than five words\n"
+    docs = spark.createDataFrame([(1, line * 2), (2, line)], "doc_id long, text string")
+    docs = docs.withColumns({n: F.lit(n) for n in ("_line_key", "line_key", "line_places", "key", "removed", "with.dot")})
+    left = {r.doc_id: r for r in line_dedup.drop_lines(docs).collect()}
+    assert left[1].text == line and left[2].text == "" and left[1]._line_key == "_line_key" and left[2].line_key == "line_key"
