@@ -8,7 +8,7 @@ from basketry import vocab
 from basketry.functions import context, vectors as v
 from basketry.operators import (
     cooccurrence as co, embeddings as emb, features as ft, menu, model_store, ordering, ranker, recommend, sampling,
-    sequences as seq, walks,
+    sequences as seq, vector_index, walks,
 )
 from basketry.plans.cart_queries import dense_edges, edges, events, steps, typed_adds
 from basketry.plans.catalogue_queries import counted, smoothed
@@ -167,6 +167,13 @@ def _(m):
     return emb.similar_items(fixed_vectors(m), popular)
 
 
+@query("similar_items_indexed")
+def _(m):
+    """Ten nearest items of every twentieth item, from the index."""
+    vectors = fixed_vectors(m)
+    return vector_index.nearest(vector_index.build_index(vectors), vectors.where("item_id % 20 = 0"))
+
+
 @query("cart_vector")
 def _(m):
     carts = emb.cart_vectors(seq.step_state(typed_adds(m)), fixed_vectors(m))

@@ -608,6 +608,10 @@ FINAL |= {
           row_number() OVER (PARTITION BY q.item_id ORDER BY list_dot_product(q.vector, v.vector) DESC, v.item_id) AS rank
         FROM o_unit q JOIN o_unit v ON v.item_id <> q.item_id WHERE q.item_id IN (SELECT item_id FROM o_part_nodes
           WHERE item_id IN (SELECT item_id FROM b_vectors) ORDER BY n DESC, item_id LIMIT 5)) WHERE rank <= 10""",
+    "similar_items_indexed": f"""SELECT query_item, item_id, {r('cosine')} AS cosine, rank FROM (
+        SELECT q.item_id AS query_item, v.item_id, list_dot_product(q.vector, v.vector) AS cosine,
+          row_number() OVER (PARTITION BY q.item_id ORDER BY list_dot_product(q.vector, v.vector) DESC, v.item_id) AS rank
+        FROM o_unit q JOIN o_unit v ON v.item_id <> q.item_id WHERE q.item_id % 20 = 0) WHERE rank <= 10""",
     "cart_vector": f"SELECT session_id, step_number, {vector_list('cart_vector')} AS cart_vector FROM o_cart_vector",
     "interaction_features": f"""SELECT session_id, step_number, c.item_id, {r('list_dot_product(cart_vector, vector)')} AS interaction_dot,
         {r('list_sum(list_transform(range(1, 65), lambda i: abs(cart_vector[i] - vector[i])))')} AS abs_sum

@@ -17,7 +17,7 @@ FAMILIES = [
     "clean_city", "clean_price", "dedupe_merchants", "impute_median", "cleaning_summary", "keyword_matches", "enrich_menu",
     "smoothed_rating", "menu_rank", "price_band", "capping_summary", "step_state", "cond_prob_edges", "degree_stats",
     "negative_samples", "next_item_affinity", "merchant_affinity", "time_split", "item_index", "user_rfm", "fit_scalers",
-    "training_set", "fix_zero_embeddings", "cart_vector", "recommend_cooc", "metrics_table", "policy_lift", "auc_exact",
+    "training_set", "fix_zero_embeddings", "similar_items_indexed", "cart_vector", "recommend_cooc", "metrics_table", "policy_lift", "auc_exact",
     "conditional_attach", "price_outliers", "random_walk_first_step", "stream_attach_rate", "stream_sessions",
 ]
 
