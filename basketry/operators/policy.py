@@ -20,13 +20,20 @@ def popularity_scores(events: DataFrame, ranks: DataFrame) -> DataFrame:
 def accepted_addons(scored: DataFrame, prices: DataFrame, k: int = vocab.TOP_RECOMMENDATIONS) -> DataFrame:
     """Per step: items accepted among the first ``k``, their value and the first position."""
     ranked = rank_labels(scored)
-    priced = ranked.join(prices.select(F.col("item_id").alias("candidate_item"), "price"), "candidate_item", "left")
     accepted = (F.col("rank") <= k) & (F.col("label") == 1)
+    # where the step has been ranked; only accepted items move to their price
+    taken = ranked.groupBy(*STEP).agg(
+        F.collect_list(F.when(accepted, F.struct("candidate_item"))).alias("_taken"),
+        F.coalesce(F.min(F.when(accepted, F.col("rank"))), F.lit(-1)).alias("first_position"),
+    )
+    lines = taken.select(*STEP, "first_position", F.explode_outer("_taken").alias("_line"))
+    lines = lines.select(*STEP, "first_position", F.col("_line").isNotNull().alias("_any"), F.col("_line.candidate_item").alias("candidate_item"))
+    priced = lines.join(prices.select(F.col("item_id").alias("candidate_item"), "price"), "candidate_item", "left")
     price = F.coalesce("price", F.lit(vocab.DEFAULT_ITEM_PRICE))
     return priced.groupBy(*STEP).agg(
-        F.count_if(accepted).alias("accepted"),
-        F.coalesce(F.sum(F.when(accepted, money(price))).cast("double"), F.lit(0.0)).alias("value"),
-        F.coalesce(F.min(F.when(accepted, F.col("rank"))), F.lit(-1)).alias("first_position"),
+        F.count_if("_any").alias("accepted"),
+        F.coalesce(F.sum(F.when(F.col("_any"), money(price))).cast("double"), F.lit(0.0)).alias("value"),
+        F.min("first_position").alias("first_position"),
     )
 
 
