@@ -72,3 +72,52 @@ def test_affinity_of_a_menu_comes_from_packed_pools(spark, small_menu, some_step
     for r in rows:
         assert r.affinity_total == pytest.approx(sum(x.weight for x in r.affinity))
         assert all((x.weight == 0) == (x.item_id in r.cart_items) for x in r.affinity)
+
+
+def test_free_items_need_no_menu_per_step(spark, small_menu):
+    from basketry.operators import menu, sequences
+
+    adds = spark.createDataFrame([(1, 0, 2, "r0"), (1, 1, 4, "r0"), (1, 2, 6, "r0"), (1, 3, 5, "r1"), (2, 0, 8, "r0"), (2, 1, 9, "r1")],
+                                 "session_id long, step_number long, item_id long, restaurant_id string")
+    homes = small_menu.groupBy("item_id").agg(F.collect_set("restaurant_id").alias("homes"))
+    state = sequences.step_state(adds.join(homes, "item_id").withColumns({"item_category": F.lit("main"), "price": F.lit(1.0)}), extra=["homes"])
+    got = {(r.session_id, r.step_number): (r.free_items, r.free_id_sum) for r in menu.free_items(state, small_menu).collect()}
+    even, odd = set(range(0, 40, 2)), set(range(1, 40, 2))
+    want = {(1, 0): even, (1, 1): even - {2}, (1, 2): even - {2, 4}, (1, 3): odd, (2, 0): even, (2, 1): odd}
+    assert got == {k: (len(v), sum(v)) for k, v in want.items()}
+
+
+def test_requests_are_scored_where_their_carts_are(spark):
+    from basketry.operators.recommend import cooc_scores
+
+    edges = spark.createDataFrame([("a", "b", 0.5), ("a", "c", 0.25), ("b", "c", 0.25)], "src string, dst string, prob double")
+    carts = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "z"), (4, None)], "request_id long, item_id string")
+    with no_size_checks(spark):
+        scores = cooc_scores(carts, edges)
+        assert "hashpartitioning(request_id#" in plan(scores) and "_candidate#" not in "".join(
+            line for line in plan(scores).splitlines() if "Exchange hashpartitioning" in line)
+        got = {(r.request_id, r.item_id): r.score for r in scores.collect()}
+    assert got == {(1, "c"): 0.5, (2, "b"): 0.5, (2, "c"): 0.25}
+
+
+def test_only_accepted_items_move_to_their_price(spark):
+    from basketry.operators import policy
+
+    scored = spark.createDataFrame([("p", 1, 0, 7, 1, 0.9), ("p", 1, 0, 8, 0, 0.1), ("p", 2, 0, 7, 1, 0.1), ("p", 2, 0, 8, 0, 0.9), ("p", 3, 0, 9, 1, 0.5)],
+                                   "policy string, session_id long, step_number int, candidate_item long, label int, score double")
+    prices = spark.createDataFrame([(7, 2.5), (8, 4.0), (7, 2.5)], "item_id long, price double")  # an item listed twice counts twice
+    with no_size_checks(spark):
+        accepted = policy.accepted_addons(scored, prices, 1)
+        assert "collect_list" in plan(accepted)  # what is accepted, before the prices
+        got = {r.session_id: (r.accepted, r.value, r.first_position) for r in accepted.collect()}
+    assert got[1] == (2, 5.0, 1) and got[2] == (0, 0.0, -1)
+    assert got[3][0] == 1 and got[3][2] == 1
+
+
+def test_a_step_is_ranked_in_the_task_of_its_session(spark, model):
+    from basketry.operators.evaluate import rank_labels
+    from basketry.plans.evaluation_queries import one_policy
+
+    with no_size_checks(spark):
+        moves = [x for x in plan(rank_labels(one_policy(model, "popularity"))).splitlines() if "Exchange hashpartitioning" in x]
+    assert moves and not any("candidate_item#" in x or "policy#" in x or "step_number#" in x for x in moves)
