@@ -67,16 +67,23 @@ def metrics_table(scored: DataFrame, model: str, baseline: str, ks=KS) -> DataFr
     return table.select("metric", F.col(model).alias("model"), F.col(baseline).alias("baseline"), better.alias("improvement_pct"))
 
 
+def class_counts(scored: DataFrame, group: list[str]) -> DataFrame:
+    """Class counts per distinct score."""
+    return scored.groupBy(*group, "score").agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
+    )
+
+
+def score_bucket() -> Column:
+    return order_bucket(-F.col("score"), 4096)
+
+
 def score_counts(scored: DataFrame, group: list[str]) -> DataFrame:
     """Class counts per distinct score with running totals from the highest score down.
 
     Everything below works on these counts; shown items are read once.
     """
-    counts = scored.groupBy(*group, "score").agg(
-        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
-    )
-    bucket = order_bucket(-F.col("score"), 4096)
-    return running(counts, group, bucket, [F.desc("score")], {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")})
+    return running(class_counts(scored, group), group, score_bucket(), [F.desc("score")], {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")})
 
 
 def score_quality(scored: DataFrame, group: list[str] | None = None) -> DataFrame:
@@ -110,8 +117,23 @@ def score_quality(scored: DataFrame, group: list[str] | None = None) -> DataFram
 
 
 def auc_exact(scored: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """ROC-AUC with ties counted half; null when a class is missing."""
-    return score_quality(scored, group).select(*(group or []), "positives", "negatives", "auc")
+    """ROC-AUC with ties counted half; null when a class is missing.
+
+    A bucket of scores adds its own pairs and, for each of its positives, the negatives of the buckets above it: rows
+    are read once, and only the buckets' sums meet. Buckets come first in the sort, as they tell rows apart sooner than the group.
+    """
+    group = group or []
+    pos, neg = F.col("pos"), F.col("neg")
+    counts = class_counts(scored, group).withColumn("_b", score_bucket())
+    inside = Window.partitionBy("_b", *group).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    buckets = counts.withColumn("_upto", F.sum("neg").over(inside)).groupBy(*group, "_b").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(pos.cast("double") * (F.col("_upto") - neg / 2.0)).alias("_inside"))
+    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    higher = F.coalesce(F.sum("neg").over(before), F.lit(0))
+    sums = buckets.withColumn("_above", F.col("_inside") + pos.cast("double") * higher).groupBy(*group).agg(
+        F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.sum("_above").alias("_above"))
+    pairs = F.col("positives").cast("double") * F.col("negatives")
+    return sums.select(*group, "positives", "negatives", (F.lit(1.0) - F.try_divide(F.col("_above"), pairs)).alias("auc"))
 
 
 def average_precision(scored: DataFrame, group: list[str] | None = None) -> DataFrame:
