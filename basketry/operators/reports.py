@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from basketry.functions.numeric import share
 from basketry.operators.menu import top_per
 from basketry.operators.ordering import quantiles
+from basketry.session import cut_lineage
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -191,10 +192,15 @@ def conditional_attach(steps: DataFrame) -> DataFrame:
 
 
 def positive_rate_by_category(events: DataFrame) -> DataFrame:
-    """Acceptance per candidate category and its share among positives and negatives."""
+    """Acceptance per candidate category and its share among positives and negatives.
+
+    ``events`` may hold ``n``, the number of like rows that a row stands for.
+    """
+    n = F.col("n") if "n" in events.columns else F.lit(1)
     counts = events.groupBy("item_category").agg(
-        F.count(F.lit(1)).alias("shown"), F.sum("label").cast("long").alias("positives")
+        F.sum(n).cast("long").alias("shown"), F.sum(F.col("label") * n).cast("long").alias("positives")
     )
+    counts = cut_lineage(counts)  # a row per category, read twice
     totals = counts.agg(F.struct(F.sum("positives").alias("p"), F.sum(F.col("shown") - F.col("positives")).alias("n"))).scalar()
     return counts.withColumn("_t", totals).select(
         "item_category", "shown", "positives",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from basketry.functions import context, keywords
@@ -17,8 +19,16 @@ from basketry.sources.bindings import CartModel
 from basketry.streaming import jobs
 
 
-def scored_policies(m: CartModel) -> DataFrame:
-    """Every shown item scored by three policies; the events are generated once.
+STEPS_PER_TASK = 250_000  # some 130 MB when a step's shown items are sorted
+
+
+def step_tasks(m: CartModel) -> int:
+    """Tasks that hold the sort of all shown items in memory; the order lines are counted from their files' footers."""
+    return max(m.spark.sparkContext.defaultParallelism, math.ceil(m["lineitem"].count() / STEPS_PER_TASK))
+
+
+def scored_policies(m: CartModel, *names: str) -> DataFrame:
+    """Every shown item scored by three policies, or by those named; the events are generated once.
 
     Added items meet their listing among the adds, shown ones are of the capped menus, which are few: no shown item moves
     to its listing, and all of a step stay in the task of their session.
@@ -27,23 +37,24 @@ def scored_policies(m: CartModel) -> DataFrame:
     listings = cut_lineage(listed.groupBy("item_id").agg(F.collect_list(F.struct("popularity_rank", "item_category")).alias("listing")))
     capped = menu.small_pools(listings.join(menu.cap_menu(m["b_items"]), "item_id", "left_semi"), 1)
     capped = capped.select(F.col("item_id").alias("candidate_item"), F.col("listing").alias("_capped"))
-    slim = events(m, listings, together="session_id").select(
+    slim = events(m, listings, together="session_id", tasks=step_tasks(m)).select(
         "session_id", "step_number", "candidate_item", "label", context.lacks(F.col("cart_categories"), "beverage").alias("_lacks"),
         F.when(F.col("label") == 1, F.col("listing")).alias("_own"))
     found = F.when(F.col("label") == 1, F.col("_own")).otherwise(F.col("_capped"))
     joined = slim.join(capped, "candidate_item", "left").select(
         "session_id", "step_number", "candidate_item", "label", "_lacks", F.inline_outer(found))
     gap = F.col("_lacks") * (F.col("item_category") == "beverage").cast("int")
-    scores = F.array(
-        F.struct(F.lit("heuristic").alias("policy"), F.coalesce(gap, F.lit(0)).cast("double").alias("score")),
-        F.struct(F.lit("popularity").alias("policy"), (-F.col("popularity_rank")).cast("double").alias("score")),
-        F.struct(F.lit("random").alias("policy"), ev.random_score().alias("score")),
-    )
-    return joined.select("session_id", "step_number", "candidate_item", "label", F.inline(scores))
+    scores = {
+        "heuristic": F.coalesce(gap, F.lit(0)).cast("double"),
+        "popularity": (-F.col("popularity_rank")).cast("double"),
+        "random": ev.random_score(),
+    }
+    entries = [F.struct(F.lit(name).alias("policy"), scores[name].alias("score")) for name in names or scores]
+    return joined.select("session_id", "step_number", "candidate_item", "label", F.inline(F.array(*entries)))
 
 
 def one_policy(m: CartModel, name: str) -> DataFrame:
-    return scored_policies(m).filter(F.col("policy") == name)
+    return scored_policies(m, name)
 
 
 def popularity_steps(m: CartModel) -> DataFrame:
@@ -69,7 +80,7 @@ def _(m):
 
 @query("metrics_table")
 def _(m):
-    return ev.metrics_table(scored_policies(m), "popularity", "random")
+    return ev.metrics_table(scored_policies(m, "popularity", "random"), "popularity", "random")
 
 
 @query("random_baseline")
@@ -154,8 +165,9 @@ def _(m):
 
 
 def typed_events(m: CartModel) -> DataFrame:
+    """Shown items with their category, like ones counted (``n``) before they move to their item."""
     categories = m["b_items"].select(F.col("item_id").alias("candidate_item"), "item_category")
-    return events(m).join(categories, "candidate_item", "left")
+    return counted(events(m), "candidate_item", "label").join(categories, "candidate_item", "left")
 
 
 @query("positive_rate_by_category")
