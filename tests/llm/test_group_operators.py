@@ -196,7 +196,7 @@ def test_pipeline_stages(spark, corpus, tmp_path):
 
 def test_registered_queries(spark):
     names = list(entry.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
 
 
 def test_archives_equal_sql(spark):
