@@ -242,6 +242,30 @@ def test_entries_of_many_lines_keep_their_links(spark):
     assert gone == set(range(1, 120, 2))
 
 
+def test_lines_that_share_one_frequent_entry_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SKETCH", 1)
+    monkeypatch.setattr(line_dedup, "TILE", 8)
+    rng = random.Random(23)
+    lines, phrase = [], " ".join(prose(rng, 25).lower().split())
+    for _ in range(60):
+        start, end = (" ".join(prose(rng, 7).lower().split()) for _ in range(2))
+        line = f"{start} {phrase} {end}"
+        copy = list(line)
+        for at in rng.sample(range(len(copy)), 4):
+            copy[at] = "x"
+        lines += [line, "".join(copy)]
+    sketch = {r.id: set(r.sketch) for r in line_dedup.sketches(spark.createDataFrame(list(enumerate(lines)), "id long, line string")).collect()}
+    holders = collections.Counter(x for s in sketch.values() for x in s)
+    pairs = [(a, b) for a in range(120) for b in range(a + 1, 120) if sketch[a] & sketch[b]]
+    edits = duckdb.execute("select levenshtein(unnest(?), unnest(?))", [[lines[a] for a, _ in pairs], [lines[b] for _, b in pairs]]).fetchall()
+    links = [(a, b) for (a, b), (n,) in zip(pairs, edits) if n <= int(max(len(lines[a]), len(lines[b])) * 0.2 + 1e-9)]
+    assert any(len(sketch[a] & sketch[b]) == 1 and all(holders[x] > 16 for x in sketch[a] & sketch[b]) for a, b in links)
+    roots = union_find(range(120), links)
+    docs = spark.createDataFrame([(i, x, "en", "a", len(x)) for i, x in enumerate(lines)], SCHEMA)
+    gone = {r.doc_id for r in line_dedup.mark_lines(docs).collect() if r.n_removed}
+    assert gone == {i for i, root in roots.items() if root != i}
+
+
 def test_keep_first_judges_rows_not_ids(spark, odd, no_rows):
     rng = random.Random(41)
     rows = [(7, prose(rng, 80), "en", "a", 0) for _ in range(60)]  # different texts of one id
