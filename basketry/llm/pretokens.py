@@ -14,7 +14,8 @@ S, L, N = re.escape(SPACE), re.escape(LETTER), re.escape(NUMBER)
 SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 
 # The patterns of the vocabulary files, spelled out for Latin-1 text.
-SPACED_PIECES = re.compile(f"{SHORT}| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+")
+# Letters stand first, as most pieces are words; no contraction begins with a letter, a number or a blank.
+SPACED_PIECES = re.compile(f" ?[{L}]+|{SHORT}| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+")
 WORD_PIECES = re.compile(f"{SHORT}|[{L}]+|[{N}]|[^{S}{L}{N}]+")
 
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,12 +28,19 @@ MANIFEST_DDL = "part long, file string, docs long, tokens long"
 
 
 class Memory(dict):
-    """Remembered pieces; those of the current batch beyond the bound are only passing."""
+    """Ids of pieces, asked for when a piece is first met; those beyond the bound are kept in ``passing``."""
 
-    passing: dict[str, bytes] = {}
+    def __init__(self, ids_of: Callable[[str], bytes]):
+        super().__init__()
+        self.ids_of = ids_of
+        self.passing: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        return self.passing[piece]
+        ids = self.passing.get(piece)
+        if ids is None:
+            ids = self.ids_of(piece)
+            (self if len(self) < PIECES_KEPT else self.passing)[piece] = ids
+        return ids
 
 
 class PieceEncoder:
@@ -47,8 +55,9 @@ class PieceEncoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.model = self.library.model
         self.letters = dict(enumerate(byte_letters()))
-        self.known = Memory()
+        self.known = Memory(self.piece)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -56,18 +65,15 @@ class PieceEncoder:
     def piece(self, piece: str) -> bytes:
         """Ids of one piece from the library's model, which needs no cutting."""
         letters = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.library.model.tokenize(letters)], dtype="<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def cut(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, SPACED_PIECES.findall(text)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
-        cut = [SPACED_PIECES.findall(t) if is_latin(t) and not any(s in t for s in self.special) else None for t in texts]
-        new = list(set().union(*(p for p in cut if p is not None)).difference(self.known))
-        ids = [self.piece(p) for p in new]
-        room = PIECES_KEPT - len(self.known)
-        self.known.update(zip(new[:room], ids))
-        self.known.passing = dict(zip(new[room:], ids[room:]))
-        return [self.whole(t) if pieces is None else b"".join(map(self.known.__getitem__, pieces))
-                for t, pieces in zip(texts, cut)]
+        self.known.passing.clear()  # of the last batch
+        return [self.cut(t) if is_latin(t) and not any(s in t for s in self.special) else self.whole(t) for t in texts]
 
 
 @lru_cache(maxsize=2)

@@ -152,6 +152,20 @@ def test_bpe_and_token_store_match_the_library(spark, odd, no_rows):
     assert token_store.token_round_trip(spark, no_rows).count() == 0
 
 
+def test_each_piece_is_asked_for_once_a_batch(monkeypatch):
+    monkeypatch.setattr(token_store, "PIECES_KEPT", 5)
+    known = token_store.PieceEncoder(token_store.VOCABULARY)
+    asked, ids_of = [], known.known.ids_of
+    known.known.ids_of = lambda piece: asked.append(piece) or ids_of(piece)
+    texts = ["It's we're 12 x's 'tis\n\n  odd  ", "a bc 'll'd a bc\xa0\x85 it's", "", " ", "a bc a bc more"]
+    for _ in range(2):
+        got = known.encode(texts)
+        assert got == [np.array(known.library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+        assert len(known.known) == 5 and len(asked) == len(set(asked))
+        asked = [p for p in asked if p in known.known]
+        known.known.ids_of = lambda piece, asked=asked: asked.append(piece) or ids_of(piece)
+
+
 def test_speculation_equals_merging():
     merges = bpe.encoder(bpe.VOCABULARY).merges
     rng = random.Random(2)
