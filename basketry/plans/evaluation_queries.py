@@ -19,11 +19,11 @@ from basketry.sources.bindings import CartModel
 from basketry.streaming import jobs
 
 
-STEPS_PER_TASK = 250_000  # some 130 MB when a step's shown items are sorted
+STEPS_PER_TASK = 100_000  # some 70 MB when a step's shown items are sorted
 
 
 def step_tasks(m: CartModel) -> int:
-    """Tasks that hold the sort of all shown items in memory; the order lines are counted from their files' footers."""
+    """Tasks that hold the sort of all shown items, and of carts before, in memory; the order lines are counted from their files' footers."""
     return max(m.spark.sparkContext.defaultParallelism, math.ceil(m["lineitem"].count() / STEPS_PER_TASK))
 
 
@@ -37,7 +37,7 @@ def scored_policies(m: CartModel, *names: str) -> DataFrame:
     listings = cut_lineage(listed.groupBy("item_id").agg(F.collect_list(F.struct("popularity_rank", "item_category")).alias("listing")))
     capped = menu.small_pools(listings.join(menu.cap_menu(m["b_items"]), "item_id", "left_semi"), 1)
     capped = capped.select(F.col("item_id").alias("candidate_item"), F.col("listing").alias("_capped"))
-    slim = events(m, listings, together="session_id", tasks=step_tasks(m)).select(
+    slim = events(m, listings, tasks=step_tasks(m)).select(
         "session_id", "step_number", "candidate_item", "label", context.lacks(F.col("cart_categories"), "beverage").alias("_lacks"),
         F.when(F.col("label") == 1, F.col("listing")).alias("_own"))
     found = F.when(F.col("label") == 1, F.col("_own")).otherwise(F.col("_capped"))

@@ -1,6 +1,7 @@
 """Plans and results of the steps that must not grow faster than their input."""
 
 import io
+import re
 from contextlib import contextmanager, redirect_stdout
 
 import pytest
@@ -121,3 +122,18 @@ def test_a_step_is_ranked_in_the_task_of_its_session(spark, model):
     with no_size_checks(spark):
         moves = [x for x in plan(rank_labels(one_policy(model, "popularity"))).splitlines() if "Exchange hashpartitioning" in x]
     assert moves and not any("candidate_item#" in x or "policy#" in x or "step_number#" in x for x in moves)
+
+
+def test_sorts_by_session_are_bounded_by_order_lines(spark, model, monkeypatch):
+    """Lines move once to their session, in as many tasks as their number asks for, before carts are built and items ranked."""
+    from basketry.operators.evaluate import rank_labels
+    from basketry.plans import evaluation_queries as eq
+
+    monkeypatch.setattr(eq, "STEPS_PER_TASK", 300)
+    tasks = eq.step_tasks(model)
+    assert tasks > 10
+    with no_size_checks(spark):
+        moves = [x for x in plan(rank_labels(eq.one_policy(model, "popularity"))).splitlines() if "Exchange hashpartitioning" in x]
+    for key, times in (("l_orderkey", 1), ("session_id", 2)):
+        assert len([x for x in moves if re.search(rf"hashpartitioning\({key}#\d+L?, {tasks}\), REPARTITION", x)]) == times
+    assert not any("l_orderkey#" in x and "l_partkey#" in x for x in moves)
