@@ -230,7 +230,8 @@ def join_item_lookup(events: DataFrame, features: DataFrame) -> DataFrame:
 def training_set(events: DataFrame, steps: DataFrame, features: DataFrame, index: DataFrame) -> DataFrame:
     """One row per shown item with cart, context and embedding references.
 
-    Cart lookups run once per step, not once per shown item.
+    Cart lookups run once per step, not once per shown item. With a broadcast ``index`` and ``features`` that are no more
+    than its items, shown items without a vector leave where they are drawn and the others meet their lookups there.
     """
     carts = cart_features(steps, heavy_rule="size").join(
         cart_embedding_indices(steps, index), ["session_id", "step_number"], "left"

@@ -21,6 +21,7 @@ CART_INPUTS = [
 CONTEXT_INPUTS = ["hour_norm", "meal_type_idx", "user_type_idx", "is_main", "is_dessert", "is_beverage", "is_side"]
 VECTOR_INPUTS = ["cart_vector", "candidate_vector", "interaction_abs"]
 BROADCAST_VECTORS = 1 << 17  # vectors of some 512 bytes that every task may hold
+BROADCAST_KEYS = 1 << 20  # rows of two or three numbers that every task may hold
 WIDTH = 3 * vocab.EMBEDDING_DIM + 1 + len(vocab.DEFAULT_USER_VECTOR) + len(vocab.DEFAULT_RESTAURANT_VECTOR) + 13
 
 

@@ -54,7 +54,10 @@ def item_table(m: CartModel) -> DataFrame:
 
 
 def training(m: CartModel) -> DataFrame:
-    return ft.training_set(events(m), steps(m), item_table(m), index(m))
+    """Only items with a vector are looked up: their index and features are stored, and broadcast while they are few."""
+    known = ranker.stored_small(index(m), ranker.BROADCAST_KEYS)
+    looked = ft.item_features(m["b_items"], known).join(known.select("item_id"), "item_id", "left_semi")
+    return ft.training_set(events(m), steps(m), ranker.stored_small(looked, ranker.BROADCAST_VECTORS), known)
 
 
 def fixed_vectors(m: CartModel) -> DataFrame:
