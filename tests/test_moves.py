@@ -20,3 +20,21 @@ def test_shown_items_meet_their_vectors_where_they_are_drawn(spark, model):
     with no_size_checks(spark):
         found = moves(fq.training(model))
     assert found and not any("candidate_item#" in x or "cart_item#" in x for x in found)
+
+
+def test_no_shown_item_moves_to_its_vector_for_the_ranker(spark, model, monkeypatch):
+    """Neither for the split nor for the inputs; steps without a candidate do not move either."""
+    cut, plans = ranker.cut_lineage, []
+
+    def spy(df):
+        plans.append(df)
+        return cut(df)
+
+    monkeypatch.setattr(ranker, "cut_lineage", spy)
+    with no_size_checks(spark):
+        fq.split_inputs(model)
+        shown = [moves(x) for x in plans if "label" in x.columns]
+        inputs = fq.model_inputs(model)
+        held = [x for x in plan(inputs).splitlines() if "LeftSemi" in x]
+    assert shown and not any("candidate_item#" in x for found in shown for x in found)
+    assert held and all("BroadcastHashJoin" in x for x in held)
