@@ -185,10 +185,14 @@ def _(m):
 
 @query("interaction_features")
 def _(m):
-    """Dot and absolute difference of cart and added item, the latter summed."""
-    vectors = fixed_vectors(m)
-    carts = emb.cart_vectors(seq.step_state(typed_adds(m)), vectors)
-    joined = carts.join(vectors.select("item_id", "vector"), "item_id")
+    """Dot and absolute difference of cart and added item, the latter summed.
+
+    Steps whose item has no vector leave before carts are looked up; few vectors go to the carts.
+    """
+    vectors = ranker.stored_small(fixed_vectors(m).select("item_id", "vector"), ranker.BROADCAST_VECTORS)
+    known = seq.step_state(typed_adds(m)).join(vectors.select("item_id"), "item_id", "left_semi")
+    carts = emb.cart_vectors(known, vectors)
+    joined = carts.join(vectors, "item_id")
     columns = emb.interaction_columns(F.col("cart_vector"), F.col("vector"))
     return joined.select(
         "session_id", "step_number", "item_id", columns["interaction_dot"].alias("interaction_dot"),

@@ -38,3 +38,9 @@ def test_no_shown_item_moves_to_its_vector_for_the_ranker(spark, model, monkeypa
         held = [x for x in plan(inputs).splitlines() if "LeftSemi" in x]
     assert shown and not any("candidate_item#" in x for found in shown for x in found)
     assert held and all("BroadcastHashJoin" in x for x in held)
+
+
+def test_added_items_without_a_vector_leave_before_carts_are_looked_up(spark, model):
+    with no_size_checks(spark):
+        found = moves(QUERIES["interaction_features"](model))
+    assert found and not any("cart_item#" in x for x in found)
