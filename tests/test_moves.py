@@ -44,3 +44,16 @@ def test_added_items_without_a_vector_leave_before_carts_are_looked_up(spark, mo
     with no_size_checks(spark):
         found = moves(QUERIES["interaction_features"](model))
     assert found and not any("cart_item#" in x for x in found)
+
+
+def test_graph_and_carts_come_from_adds_read_once(spark, model, monkeypatch):
+    asked = []
+    whole = recommend.recommend_cooc
+    monkeypatch.setattr(recommend, "recommend_cooc", lambda carts, *more, **how: asked.append(carts) or whole(carts, *more, **how))
+    with no_size_checks(spark):
+        best = QUERIES["recommend_cooc"](model)
+        assert "l_orderkey" not in plan(best)
+        found = [x for x in plan(best).splitlines() if "Exchange" in x and "request_id#" in x]
+        assert len(found) == 1 and "REPARTITION_BY_NUM" in found[0]
+    want = cart_queries.typed_adds(model).select(F.col("session_id").alias("request_id"), F.col("item_name").alias("item_id")).distinct()
+    assert asked[0].exceptAll(want).isEmpty() and want.exceptAll(asked[0]).isEmpty()
