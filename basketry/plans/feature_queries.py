@@ -416,7 +416,9 @@ def _(m):
 
 @query("write_events")
 def _(m):
-    stored = sinks.write_events(events(m), scratch_path(m.spark, "events"), "month")
+    # steps move to their period before their items are drawn
+    stored = sinks.write_events(steps(m), scratch_path(m.spark, "events"), "month", tasks=line_tasks(m),
+                                show=lambda dealt: sampling.cart_events(dealt, m["b_items"]))
     return counted(stored.withColumn("event_date", F.date_format("event_date", "yyyy-MM-dd")), "event_date", "label")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketry.sources.readers import CSV_OPTIONS
@@ -24,14 +26,17 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     return reader.options(**CSV_OPTIONS).csv(path) if fmt == "csv" else reader.parquet(path)
 
 
-def write_events(events: DataFrame, path: str, granularity: str = "day", spread: int = 16) -> DataFrame:
+def write_events(events: DataFrame, path: str, granularity: str = "day", spread: int = 16, tasks: int | None = None,
+                 show: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Cart events partitioned by time, so that a time split reads only the periods it needs.
 
-    A busy period is written by up to ``spread`` tasks instead of one.
+    A busy period is written by up to ``spread`` tasks instead of one. ``show`` makes the events, row by row, of what is
+    given instead: then only that moves, in ``tasks`` tasks.
     """
     dated = events.withColumn("event_date", F.to_date(F.date_trunc(granularity, F.col("ts").cast("timestamp"))))
-    spread_out = dated.repartition("event_date", F.pmod(F.xxhash64("session_id"), F.lit(spread)))
-    return write_table(spread_out, path, partition_by=["event_date"])
+    keys = ["event_date", F.pmod(F.xxhash64("session_id"), F.lit(spread))]
+    spread_out = dated.repartition(tasks, *keys) if tasks else dated.repartition(*keys)
+    return write_table(show(spread_out) if show else spread_out, path, partition_by=["event_date"])
 
 
 def write_training_set(training: DataFrame, path: str) -> DataFrame:

@@ -57,3 +57,15 @@ def test_graph_and_carts_come_from_adds_read_once(spark, model, monkeypatch):
         assert len(found) == 1 and "REPARTITION_BY_NUM" in found[0]
     want = cart_queries.typed_adds(model).select(F.col("session_id").alias("request_id"), F.col("item_name").alias("item_id")).distinct()
     assert asked[0].exceptAll(want).isEmpty() and want.exceptAll(asked[0]).isEmpty()
+
+
+def test_steps_move_to_their_period_before_items_are_drawn(spark, small_menu, some_steps, monkeypatch, tmp_path):  # noqa: F811
+    days = some_steps.withColumn("ts", F.expr("timestamp_seconds(1000000000 + session_id * 86400)"))
+    whole = sinks.write_events(sampling.cart_events(days, small_menu), str(tmp_path / "whole"), "month")
+    written, write = [], sinks.write_table
+    monkeypatch.setattr(sinks, "write_table", lambda df, *more, **how: written.append(df) or write(df, *more, **how))
+    first = sinks.write_events(days, str(tmp_path / "first"), "month", tasks=3, show=lambda x: sampling.cart_events(x, small_menu))
+    steps = plan(written[0])
+    assert "REPARTITION_BY_NUM" in steps.split("ArrowEvalPython")[1] and "Exchange" not in steps.split("ArrowEvalPython")[0]
+    assert first.columns == whole.columns and whole.count() > days.count()
+    assert sorted(map(str, first.collect())) == sorted(map(str, whole.collect()))
