@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from basketry.functions.hashing import uniform
 from basketry.functions.numeric import order_bucket, share
@@ -21,9 +21,12 @@ def random_score(seed: int = 42) -> Column:
 
 def rank_labels(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Position of every shown item within its step, best score first, unscored last."""
-    keys = keys or STEP
-    order = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("score"), F.asc("candidate_item"))
-    return scored.withColumn("rank", F.row_number().over(order).cast("long"))
+    return scored.withColumn("rank", F.row_number().over(step_order(keys or STEP)).cast("long"))
+
+
+def step_order(keys: list[str]) -> WindowSpec:
+    """Shown items of a step, best first. The policy comes last in the sort, as the session tells rows apart sooner."""
+    return Window.partitionBy(*sorted(keys, key="policy".__eq__)).orderBy(F.desc_nulls_last("score"), F.asc("candidate_item"))
 
 
 def step_metrics(ranked: DataFrame, ks=KS, keys: list[str] | None = None) -> DataFrame:

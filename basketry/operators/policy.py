@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from basketry import vocab
 from basketry.functions.numeric import money, share
-from basketry.operators.evaluate import STEP, rank_labels
+from basketry.operators.evaluate import STEP, rank_labels, step_order
 
 
 def popularity_scores(events: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -17,17 +17,34 @@ def popularity_scores(events: DataFrame, ranks: DataFrame) -> DataFrame:
     ).drop("popularity_rank")
 
 
-def accepted_addons(scored: DataFrame, prices: DataFrame, k: int = vocab.TOP_RECOMMENDATIONS) -> DataFrame:
-    """Per step: items accepted among the first ``k``, their value and the first position."""
+def accepted_addons(scored: DataFrame, prices: DataFrame | None, k: int = vocab.TOP_RECOMMENDATIONS) -> DataFrame:
+    """Per step: items accepted among the first ``k``, their value and the first position.
+
+    An item that is listed more than once counts as often. Without ``prices`` the column of that name in ``scored`` holds
+    the prices of an added item's listings, and no row moves.
+    """
     ranked = rank_labels(scored)
     accepted = (F.col("rank") <= k) & (F.col("label") == 1)
-    # where the step has been ranked; only accepted items move to their price
-    taken = ranked.groupBy(*STEP).agg(
-        F.collect_list(F.when(accepted, F.struct("candidate_item"))).alias("_taken"),
-        F.coalesce(F.min(F.when(accepted, F.col("rank"))), F.lit(-1)).alias("first_position"),
-    )
+    line = F.struct("candidate_item") if prices is not None else F.struct("candidate_item", "prices")
+    # where the step has been ranked: its first row stands for it, the others are needed if accepted
+    ranked = ranked.filter(F.col("rank") <= max(k, 1)).filter((F.col("rank") == 1) | (F.col("label") == 1))
+    step = step_order(STEP).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    taken = ranked.select(*STEP, "rank", F.when(accepted, line).alias("_line"), F.when(accepted, F.col("rank")).alias("_at"), "score", "candidate_item")
+    taken = taken.withColumns({
+        "_taken": F.collect_list("_line").over(step),
+        "first_position": F.coalesce(F.min("_at").over(step), F.lit(-1)),
+    }).filter("rank = 1").select(*STEP, "first_position", "_taken")
+    if prices is None:
+        # an item without a listing counts once, at the default price
+        unlisted = F.array(F.lit(None).cast("double"))
+        each = F.flatten(F.transform("_taken", lambda x: F.when(F.size(x["prices"]) > 0, x["prices"]).otherwise(unlisted)))
+        nothing = F.lit(0).cast("decimal(38,2)")
+        amounts = F.transform(each, lambda x: F.coalesce(money(F.coalesce(x, F.lit(vocab.DEFAULT_ITEM_PRICE))), F.lit(0).cast("decimal(28,2)")))
+        value = F.aggregate(amounts, nothing, lambda a, x: (a + x).cast("decimal(38,2)"))
+        return taken.select(*STEP, F.size(each).cast("long").alias("accepted"), value.cast("double").alias("value"), "first_position")
     lines = taken.select(*STEP, "first_position", F.explode_outer("_taken").alias("_line"))
     lines = lines.select(*STEP, "first_position", F.col("_line").isNotNull().alias("_any"), F.col("_line.candidate_item").alias("candidate_item"))
+    # only accepted items move to their price
     priced = lines.join(prices.select(F.col("item_id").alias("candidate_item"), "price"), "candidate_item", "left")
     price = F.coalesce("price", F.lit(vocab.DEFAULT_ITEM_PRICE))
     return priced.groupBy(*STEP).agg(

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, functions as F
 
 from basketry.functions import context, keywords
 from basketry.operators import catalogue, cooccurrence as co, evaluate as ev, features as ft, menu, policy, reports
 from basketry.operators.recommend import recommend_cooc
-from basketry.plans.cart_queries import dense_edges, events, steps, typed_adds
+from basketry.plans.cart_queries import LINES_PER_TASK, dense_edges, events, line_tasks, steps, typed_adds
 from basketry.plans.catalogue_queries import counted, dishes, restaurant_rows, rows
 from basketry.plans.feature_queries import item_table, training
 from basketry.plans.registry import query
@@ -19,30 +17,33 @@ from basketry.sources.bindings import CartModel
 from basketry.streaming import jobs
 
 
-STEPS_PER_TASK = 100_000  # some 70 MB when a step's shown items are sorted
+STEPS_PER_TASK = LINES_PER_TASK
 
 
 def step_tasks(m: CartModel) -> int:
-    """Tasks that hold the sort of all shown items, and of carts before, in memory; the order lines are counted from their files' footers."""
-    return max(m.spark.sparkContext.defaultParallelism, math.ceil(m["lineitem"].count() / STEPS_PER_TASK))
+    """Tasks that hold the sort of all shown items, and of carts before, in memory."""
+    return line_tasks(m, STEPS_PER_TASK)
 
 
-def scored_policies(m: CartModel, *names: str) -> DataFrame:
+def scored_policies(m: CartModel, *names: str, priced: bool = False) -> DataFrame:
     """Every shown item scored by three policies, or by those named; the events are generated once.
 
+    ``priced``: added items bring the prices of their listings as ``prices``.
+
     Added items meet their listing among the adds, shown ones are of the capped menus, which are few: no shown item moves
     to its listing, and all of a step stay in the task of their session.
     """
-    listed = menu.popularity_rank(m["b_items"]).select("item_id", "popularity_rank", "item_category")
-    listings = cut_lineage(listed.groupBy("item_id").agg(F.collect_list(F.struct("popularity_rank", "item_category")).alias("listing")))
+    listed = menu.popularity_rank(m["b_items"]).select("item_id", "popularity_rank", "item_category", "price")
+    listings = cut_lineage(listed.groupBy("item_id").agg(F.collect_list(F.struct("popularity_rank", "item_category", "price")).alias("listing")))
     capped = menu.small_pools(listings.join(menu.cap_menu(m["b_items"]), "item_id", "left_semi"), 1)
     capped = capped.select(F.col("item_id").alias("candidate_item"), F.col("listing").alias("_capped"))
     slim = events(m, listings, tasks=step_tasks(m)).select(
         "session_id", "step_number", "candidate_item", "label", context.lacks(F.col("cart_categories"), "beverage").alias("_lacks"),
         F.when(F.col("label") == 1, F.col("listing")).alias("_own"))
     found = F.when(F.col("label") == 1, F.col("_own")).otherwise(F.col("_capped"))
+    prices = [F.col("_own.price").alias("prices")] if priced else []
     joined = slim.join(capped, "candidate_item", "left").select(
-        "session_id", "step_number", "candidate_item", "label", "_lacks", F.inline_outer(found))
+        "session_id", "step_number", "candidate_item", "label", "_lacks", *prices, F.inline_outer(found))
     gap = F.col("_lacks") * (F.col("item_category") == "beverage").cast("int")
     scores = {
         "heuristic": F.coalesce(gap, F.lit(0)).cast("double"),
@@ -50,7 +51,7 @@ def scored_policies(m: CartModel, *names: str) -> DataFrame:
         "random": ev.random_score(),
     }
     entries = [F.struct(F.lit(name).alias("policy"), scores[name].alias("score")) for name in names or scores]
-    return joined.select("session_id", "step_number", "candidate_item", "label", F.inline(F.array(*entries)))
+    return joined.select("session_id", "step_number", "candidate_item", "label", *(["prices"] if priced else []), F.inline(F.array(*entries)))
 
 
 def one_policy(m: CartModel, name: str) -> DataFrame:
@@ -97,11 +98,12 @@ def _(m):
 
 @query("accepted_addons")
 def _(m):
-    return policy.accepted_addons(one_policy(m, "popularity"), m["b_items"], 3)
+    return policy.accepted_addons(scored_policies(m, "popularity", priced=True), None, 3)
 
 
 def measured(m: CartModel) -> DataFrame:
-    return policy.policy_metrics(policy.accepted_addons(scored_policies(m), m["b_items"], 3))
+    """One row per policy, computed once: what compares policies reads them more than once."""
+    return cut_lineage(policy.policy_metrics(policy.accepted_addons(scored_policies(m, priced=True), None, 3)))
 
 
 @query("policy_metrics")

@@ -69,3 +69,20 @@ def test_steps_move_to_their_period_before_items_are_drawn(spark, small_menu, so
     assert "REPARTITION_BY_NUM" in steps.split("ArrowEvalPython")[1] and "Exchange" not in steps.split("ArrowEvalPython")[0]
     assert first.columns == whole.columns and whole.count() > days.count()
     assert sorted(map(str, first.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_prices_that_come_with_an_item_give_the_same_values(spark):
+    rows = [("p", 1, 0, 7, 1, 0.9, [2.5, 2.5]), ("p", 1, 0, 8, 0, 0.1, None), ("p", 2, 0, 7, 1, 0.1, [2.5, 2.5]), ("p", 2, 0, 8, 0, 0.9, None),
+            ("p", 3, 0, 9, 1, 0.5, None), ("p", 4, 0, 5, 1, None, [None]), ("p", 4, 0, 6, 1, 0.2, [4.0]), ("q", 4, 0, 6, 1, 0.2, [4.0]), ("q", 5, 0, 8, 0, 0.3, None)]
+    scored = spark.createDataFrame(rows, "policy string, session_id long, step_number int, candidate_item long, label int, score double, prices array<double>")
+    prices = spark.createDataFrame([(7, 2.5), (8, 4.0), (7, 2.5), (5, None), (6, 4.0)], "item_id long, price double")
+    with no_size_checks(spark):
+        own = policy.accepted_addons(scored, None, 2)
+        assert not any("candidate_item#" in x for x in moves(own))
+    for k in (1, 2):
+        by = [sorted(map(str, policy.accepted_addons(scored, p, k).collect())) for p in (None, prices)]
+        assert by[0] == by[1] and len(by[0]) == 6
+
+
+def test_policies_are_measured_once(model):
+    assert "Window" not in plan(eq.measured(model))
