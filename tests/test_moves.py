@@ -86,3 +86,15 @@ def test_prices_that_come_with_an_item_give_the_same_values(spark):
 
 def test_policies_are_measured_once(model):
     assert "Window" not in plan(eq.measured(model))
+
+
+def test_open_carts_are_kept_in_files_not_on_the_heap(spark, model, monkeypatch):
+    """Changelogs of RocksDB stand in the stream's log; the session's own settings come back."""
+    made, key = [], "spark.sql.streaming.stateStore.providerClass"
+    path = jobs.scratch_path
+    monkeypatch.setattr(jobs, "scratch_path", lambda *names: made.append(path(*names)) or made[-1])
+    before = spark.conf.get(key)
+    answers = eq.recommend_stream(model, jobs.stream_table(spark, model.sf_dir, "lineitem").select("l_orderkey", "l_partkey").where("l_orderkey % 50 = 0"))
+    assert answers.count() > 0 and spark.conf.get(key) == before
+    files = [f for _, _, names in os.walk(f"{made[0]}-log/state") for f in names]
+    assert any(f.endswith((".changelog", ".zip")) for f in files) and not any(f.endswith(".delta") for f in files)
